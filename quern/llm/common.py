@@ -108,3 +108,14 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     ends = np.cumsum(lengths)
     return np.arange(total, dtype=np.int64) + np.repeat(starts - (ends - lengths), lengths)
+
+
+def where_score(docs: DataFrame, keep) -> DataFrame:
+    """The rows, with all their columns, for whose text `keep` (a function of buffer and offsets) is true."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in chunks(batches, "text"):
+            yield b.filter(pa.array(np.asarray(keep(*text_buffer(b.column("text"))), bool)))
+
+    ship(docs.sparkSession)
+    return docs.mapInArrow(rows, docs.schema)

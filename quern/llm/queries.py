@@ -5,8 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import table
+from .common import fold, table
+
+#: Scores from here up count as label 1.
+GOOD, TOXIC = 0.3, 0.7
 
 
 def word_vocabulary() -> str:
@@ -27,6 +31,34 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def quality_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labels that may be learnt from."""
+    return table(spark, sf_dir, "labels").where(fold("doc_id", 5) != 0).select("doc_id", F.col("quality").alias("label"))
+
+
+def toxic_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labels that may be learnt from."""
+    return table(spark, sf_dir, "labels").where(fold("doc_id", 3) != 1).select("doc_id", F.col("toxic").alias("label"))
+
+
+def _judged(scores: DataFrame, held_out, least: float) -> DataFrame:
+    return scores.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality
+
+    docs = table(spark, sf_dir, "documents")
+    return _judged(quality.score(docs, quality.fit(docs, quality_labels(spark, sf_dir))), fold("doc_id", 5) == 0, GOOD)
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    return _judged(toxicity.score(docs, toxicity.fit(docs, toxic_labels(spark, sf_dir))), fold("doc_id", 3) == 1, TOXIC)
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -36,7 +68,9 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_output": op1_token_output,
     "op3_simhash": op3_simhash,
+    "op4_quality": op4_quality,
     "op7_packing": op7_packing,
+    "op8_toxicity": op8_toxicity,
 }
 
 SQL: dict[str, str] = {}
