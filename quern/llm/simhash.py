@@ -250,8 +250,37 @@ def _verify(sketch: int, least: float):
     return check
 
 
-def near_duplicates(docs: DataFrame, least: float = 0.5, far: int = 34, aim: int = 20, recall: float = 0.98, leaf: int = 256, sketch: int = 400, block: int = 20_000) -> DataFrame:
-    """doc_id, class_id (smallest doc_id of its class), n_links (other texts linked with its text), n_copies (rows of its text), kept."""
+def _digest(raw: np.ndarray, off: np.ndarray, doc: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of each text as two longs, and the number by which a row is known: its doc_id, or one made from its text."""
+    view = memoryview(np.ascontiguousarray(raw))
+    th = np.array([np.frombuffer(hashlib.blake2b(view[a:z], digest_size=16).digest(), np.int64) for a, z in zip(off[:-1].tolist(), off[1:].tolist())]).reshape(-1, 2)
+    return th, np.where(np.asarray(doc.is_null()), -1 - (th[:, 0] & ((1 << 62) - 1)), doc.fill_null(0).to_numpy(zero_copy_only=False))
+
+
+def near_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, class_id (smallest doc_id of its class), n_links (other texts linked with its text), n_copies (rows of its text), kept. Options: those of `classes`."""
+    return classes(docs, **options).drop("node")
+
+
+def keep_first(docs: DataFrame, **options) -> DataFrame:
+    """One row of each class, with all its columns: that of the smallest doc_id; where several rows have it, one of them."""
+    found = saved(classes(docs, **options).select("node", "class_id"), "classes")
+    drop = found.where("node <> class_id").select(F.col("node").alias("_near_node")).distinct()
+
+    def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in chunks(batches, "text"):
+            _, node = _digest(*text_buffer(b.column("text")), b.column("doc_id").cast(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(node)], names=[*b.schema.names, "_near_node"])
+
+    schema = type(docs.schema)([*docs.schema.fields]).add("_near_node", "long")
+    kept = docs.mapInArrow(tag, schema).join(drop, "_near_node", "left_anti")
+    if found.groupBy("node").count().where("count > 1").limit(1).count():
+        kept = kept.dropDuplicates(["_near_node"])
+    return kept.select(docs.columns)
+
+
+def classes(docs: DataFrame, least: float = 0.5, far: int = 34, aim: int = 20, recall: float = 0.98, leaf: int = 256, sketch: int = 400, block: int = 20_000) -> DataFrame:
+    """node (doc_id, or a negative number made from the text), doc_id, class_id, n_links, n_copies, kept for each row."""
     spark = docs.sparkSession
     ship(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -260,10 +289,8 @@ def near_duplicates(docs: DataFrame, least: float = 0.5, far: int = 34, aim: int
         for b in chunks(batches, "text"):
             raw, off = text_buffer(b.column("text"))
             fp, count, sketches, pairs = features(raw, off, sketch)
-            view = memoryview(np.ascontiguousarray(raw))
-            th = np.array([np.frombuffer(hashlib.blake2b(view[a:z], digest_size=16).digest(), np.int64) for a, z in zip(off[:-1].tolist(), off[1:].tolist())]).reshape(-1, 2)
             doc = b.column("doc_id")
-            node = np.where(np.asarray(doc.is_null()), -1 - (th[:, 0] & ((1 << 62) - 1)), doc.fill_null(0).to_numpy(zero_copy_only=False))
+            th, node = _digest(raw, off, doc)
             f = fp.view(np.int64)
             yield pa.RecordBatch.from_arrays([doc, pa.array(node), pa.array(th[:, 0]), pa.array(th[:, 1]), pa.array(f[:, 0]), pa.array(f[:, 1]), pa.array(count), pa.array(sketches, pa.binary()), pa.array(pairs)], names=["doc_id", "node", "t0", "t1", "f0", "f1", "words", "sketch", "pairs"])
 
@@ -287,10 +314,10 @@ def near_duplicates(docs: DataFrame, least: float = 0.5, far: int = 34, aim: int
     alias = rows.join(F.broadcast(same) if same.count() <= 10_000 else same, "node").join(texts.select("t0", "t1", F.col("node").alias("rep")), ["t0", "t1"]).select(F.col("node").alias("a"), F.col("rep").alias("b"))
     roots_ = components(links.select("a", "b").union(alias))
     degree = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
-    classes = texts.select("t0", "t1", "node", "n_copies").join(roots_, "node", "left").join(degree, "node", "left").select("t0", "t1", F.coalesce("root", "node").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies")
+    by_text = texts.select("t0", "t1", "node", "n_copies").join(roots_, "node", "left").join(degree, "node", "left").select("t0", "t1", F.coalesce("root", "node").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies")
     # most texts have one row: only the others go through the join, which AQE splits where one text is frequent
     first = F.col("node") == F.col("class_id")
-    return rows.select("doc_id", "node", "t0", "t1").join(classes, ["t0", "t1"]).select("doc_id", "class_id", "n_links", "n_copies", first.alias("kept"))
+    return rows.select("doc_id", "node", "t0", "t1").join(by_text, ["t0", "t1"]).select("node", "doc_id", "class_id", "n_links", "n_copies", first.alias("kept"))
 
 
 def _links(rows: DataFrame, texts: DataFrame, pairs: DataFrame, sketch: int, least: float, block: int) -> DataFrame:
