@@ -59,6 +59,12 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(toxicity.score(docs, toxicity.fit(docs, toxic_labels(spark, sf_dir))), fold("doc_id", 3) == 1, TOXIC)
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import archive
+
+    return archive(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -69,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_output": op1_token_output,
     "op3_simhash": op3_simhash,
     "op4_quality": op4_quality,
+    "op5_warc": op5_warc,
     "op7_packing": op7_packing,
     "op8_toxicity": op8_toxicity,
 }
