@@ -25,6 +25,13 @@ def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(table(spark, sf_dir, "documents"), word_vocabulary())
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import licenses
+
+    docs = table(spark, sf_dir, "documents")
+    return licenses.by_document(docs, licenses.fit(docs))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
@@ -73,6 +80,7 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_output": op1_token_output,
+    "op2_licenses": op2_licenses,
     "op3_simhash": op3_simhash,
     "op4_quality": op4_quality,
     "op5_warc": op5_warc,
