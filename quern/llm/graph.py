@@ -199,8 +199,8 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10, beam: int = 96, bl
     ship(index.sparkSession)
     asked = saved(usable(queries).dropDuplicates(["vec_id"]).withColumn("dim", F.size("embedding")), "queries")
     blocks = max(1, -(-asked.count() // block))
-    mine = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks))).join(F.broadcast(index.groupBy("dim").agg(F.collect_list("shard").alias("shards"))), "dim").select("vec_id", "embedding", "block", F.explode("shards").alias("shard"))
-    graphs = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long"))
+    mine = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).join(F.broadcast(index.groupBy("dim").agg(F.collect_list("shard").alias("shards"))), "dim").select("vec_id", "embedding", "block", F.explode("shards").alias("shard"))
+    graphs = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def find(key, g: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         none = pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})

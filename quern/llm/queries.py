@@ -90,6 +90,19 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), word_vocabulary())
 
 
+def op9_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .descent import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .graph import nearest
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_output": op1_token_output,
     "op2_licenses": op2_licenses,
@@ -99,6 +112,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_pieces": op6_pieces,
     "op7_packing": op7_packing,
     "op8_toxicity": op8_toxicity,
+    "op9_near_vectors": op9_near_vectors,
+    "op10_nearest": op10_nearest,
 }
 
 SQL: dict[str, str] = {}
