@@ -100,8 +100,11 @@ class Engine:
             rows.unpersist()
 
     def ingest_repositories(self, target: str, deep: bool = False, token: str | None = None, source: type | None = None) -> dict:
-        from .sources.remote import RepositorySource
         from .functions.docmeta import repo_target
+        from .plans.shared import ship
+        from .sources.remote import RepositorySource
+
+        ship(self.spark)
 
         if not target or not target.strip():
             raise ValueError("a user name or repository is required")

@@ -72,10 +72,10 @@ _LEAF = r'"[^"]*"\s*:?|-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?|true|false'
 
 def number_text(x: Column) -> Column:
     """A JSON number as JavaScript prints it, for doubles that Spark prints with an exponent or `.0`."""
-    d = x.cast("double")
+    d = x.try_cast("double")
     plain = F.regexp_replace(F.regexp_replace(d.cast("decimal(38,10)").cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
     far = F.regexp_replace(F.regexp_replace(F.lower(d.cast("string")), r"\.0e", "e"), r"e(\d)", r"e+$1")
-    return F.when(x.rlike(r"[eE]|\.0$"), F.when((F.abs(d) < 1e21) & ((F.abs(d) >= 1e-6) | (d == 0)), plain).otherwise(far)).otherwise(x)
+    return F.when(x.rlike(r"\d[eE]|\.0$"), F.when((F.abs(d) < 1e21) & ((F.abs(d) >= 1e-6) | (d == 0)), plain).otherwise(far)).otherwise(x)
 
 
 def json_text(json: Column) -> Column:

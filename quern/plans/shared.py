@@ -9,6 +9,28 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application, so that their Python can import it."""
+    import zipfile
+
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    at = os.path.join(tempfile.mkdtemp(prefix="ship"), f"{os.path.basename(root)}_core_{uuid.uuid4().hex[:8]}.zip")
+    with zipfile.ZipFile(at, "w") as z:
+        for d, _, files in os.walk(root):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(d, f)
+                    z.write(full, os.path.join(os.path.basename(root), os.path.relpath(full, root)))
+    spark.sparkContext.addPyFile(at)
+    _SHIPPED.add(app)
+
+
 def shared_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder that all executors share, under spark.checkpoint.dir; one of our own only where that is unset, as in tests."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.docmeta import TEXT, extension_of, trim
+from ..plans.shared import ship
 
 _PDF = "text string, pages int, error string"
 EMPTY, BINARY, SCANNED = "empty file", "unsupported binary file (no text to index)", "no extractable text (likely a scanned/image-only PDF)"
@@ -85,6 +86,7 @@ def with_source(json: Column, filename: Column) -> Column:
 
 def documents(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Documents (filename, nth, doc_json) and a report (filename, status, reason, documents) of files (filename, content)."""
+    ship(files.sparkSession)
     ext = extension_of(F.col("filename"))
     text = F.make_valid_utf8(F.col("content").cast("string"))
     kind = F.when(ext == "pdf", "pdf").when(~ext.isin(*TEXT) & is_binary(F.col("content")), "binary").when(ext == "json", "json").when(ext.isin("ndjson", "jsonl"), "lines").otherwise("text")

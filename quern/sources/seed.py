@@ -8,6 +8,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
+from ..plans.shared import ship
+
 _FRONT = "storage index search database system engine document query ranking segment offset durability crash recovery"
 _MIDDLE = "inverted posting tokenizer stopword relevance score distributed log append snapshot compaction tombstone"
 _THEN = "latency throughput benchmark cache memory disk seek write read delete update consistency replication shard"
@@ -46,6 +48,7 @@ class Generator:
 def corpus(spark: SparkSession, count: int, seed: int = 42, block: int = 5000) -> DataFrame:
     """title, body, seq. How many draws a document takes depends on its first, so the driver runs through the lengths
     alone (by jumps) and notes the state at each block; the texts are made by the executors."""
+    ship(spark)
     g, states = Generator(seed), []
     for i in range(count):
         if i % block == 0:
