@@ -216,9 +216,10 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = 8000, unlabelled: i
     ids = plain(docs).where("doc_id is not null").select("doc_id").orderBy(order, "doc_id").limit(unlabelled).distinct().withColumn("unl", F.lit(True))
     chosen = trusted.join(ids, "doc_id", "full")  # at most positives + unlabelled rows
     rows = plain(docs).join(F.broadcast(chosen), "doc_id")
-    got = described(rows.select("doc_id", "text")).join(F.broadcast(chosen), "doc_id").select("x", "pos", "unl", "doc_id").orderBy(F.xxhash64("doc_id", F.lit(23)), "x").limit(4 * (positives + unlabelled)).toPandas()
-    x = np.array(got.x.tolist(), float).reshape(-1, len(NAMES))
-    return train(x[got.pos.notna().to_numpy()], x[got.unl.notna().to_numpy()], **options)
+    got = described(rows.select("doc_id", "text")).join(F.broadcast(chosen), "doc_id").select("x", "pos", "unl", "doc_id").orderBy(F.xxhash64("doc_id", F.lit(23)), "x").limit(4 * (positives + unlabelled)).toArrow()
+    x = got["x"].combine_chunks().flatten().to_numpy().reshape(-1, len(NAMES))
+    have = lambda c: got[c].is_valid().to_numpy()
+    return train(x[have("pos")], x[have("unl")], **options)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -141,14 +141,14 @@ def train(doc: np.ndarray, feature: np.ndarray, count: np.ndarray, label: np.nda
     """Weights and intercept. doc, feature, count: sparse rows of the labelled texts; keys: the hash of each feature."""
     n, f = len(label), len(keys)
     weight = np.ones(n) if weight is None else weight
-    x = np.log1p(count)
+    x = np.log1p(count).astype(np.float32)
     sr, sc, sv, sw = swaps(doc, feature, count, keys, groups) if swap else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
     w = np.zeros(f + 1)
     m, v = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, steps + 1):
-        z = np.bincount(doc, w[feature] * x, n) + w[-1]
+        z = np.bincount(doc, w.astype(np.float32)[feature] * x, n) + w[-1]
         r = weight * (1 / (1 + np.exp(-z)) - label)
-        g = np.append(np.bincount(feature, r[doc] * x, f) + l2 * w[:-1], r.sum())
+        g = np.append(np.bincount(feature, r.astype(np.float32)[doc] * x, f) + l2 * w[:-1], r.sum())
         if len(sr):
             dz = np.bincount(sr, w[sc] * sv, len(sw)) * sw
             g[:-1] += 2 * swap * np.bincount(sc, dz[sr] * sv, f)
@@ -163,7 +163,8 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = 4000, negatives: in
     own = saved(labels.where("label is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("label").alias("label")), "labels")
     size = {r["label"]: r["count"] for r in own.groupBy("label").count().collect()}
     chosen = own.where("label = 1").orderBy(order, "doc_id").limit(positives).unionByName(own.where("label = 0").orderBy(order, "doc_id").limit(negatives))
-    rows = saved(plain(docs).join(F.broadcast(chosen), "doc_id"), "sample")  # the broadcast has at most positives + negatives rows
+    # the broadcast has at most positives + negatives rows; of rows with one doc_id one is learnt from
+    rows = saved(plain(docs).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]), "sample")
     ship(docs.sparkSession)
 
     def presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,19 +190,25 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = 4000, negatives: in
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches, "text"):
             d, j, c = vocabulary.hits(*text_buffer(b.column("text")))
-            cut = np.searchsorted(d, np.arange(b.num_rows + 1)).astype(np.int32)
-            lists = [pa.ListArray.from_arrays(pa.array(cut), pa.array(x.astype(np.int32))) for x in (j, c)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label").cast(pa.int32()), *lists], names=["doc_id", "label", "j", "c"])
-
-    data = rows.mapInArrow(sparse, "doc_id long, label int, j array<int>, c array<int>").orderBy("doc_id").limit(4 * (positives + negatives)).toPandas()
-    doc = np.repeat(np.arange(len(data)), data.j.str.len())
-    feature, count = (np.concatenate([np.asarray(x, np.int64) for x in data[k]]) if len(doc) else np.zeros(0, np.int64) for k in ("j", "c"))
-    label = data.label.to_numpy(float)
-    weight = np.where(label == 1, size[1] / p, size[0] / q)
-    weight /= weight.mean()
-    w, b = train(doc, feature, count, label, vocabulary.keys, weight, swap, groups=groups)
+            cut = np.searchsorted(d, np.arange(b.num_rows + 1))
+            cells = [np.stack([j[x:y], c[x:y]]).astype(np.int32).tobytes() for x, y in zip(cut[:-1], cut[1:])]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label").cast(pa.int32()), pa.array(cells, pa.binary())], names=["doc_id", "label", "cells"])
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """All rows, at most positives + negatives, in one task: the driver gets the model alone."""
+        got = sorted((r for b in batches for r in zip(*(c.to_pylist() for c in b.columns))), key=lambda r: r[0])
+        cells = [np.frombuffer(r[2], np.int32).reshape(2, -1) for r in got]
+        doc = np.repeat(np.arange(len(got), dtype=np.int32), [c.shape[1] for c in cells])
+        feature, count = np.concatenate(cells, axis=1)
+        label = np.array([r[1] for r in got], float)
+        weight = np.where(label == 1, size[1] / p, size[0] / q)
+        w, b = train(doc, feature, count, label, vocabulary.keys, weight / weight.mean(), swap, groups=groups)
+        yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()], pa.binary()), pa.array([b])], names=["weights", "bias"])
+
+    model = rows.mapInArrow(sparse, "doc_id long, label int, cells binary").repartition(1).mapInArrow(learn, "weights binary, bias double").head()
+    w = np.frombuffer(model["weights"], np.float64)
     used = np.abs(w) > 1e-9
-    return Model(Vocabulary(vocabulary.keys[used]), w[used], b)
+    return Model(Vocabulary(vocabulary.keys[used]), w[used], model["bias"])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
