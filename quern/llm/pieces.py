@@ -14,8 +14,8 @@ A character without a piece of its own is an edge of the least piece score less
 text isn't normalised; a space goes before it, as the model asks.
 
 Defined results: null and empty texts have one segmentation without ids, of score 0; a text of fewer than n
-segmentations has as many rows as it has segmentations; equal scores are ordered by the places at which the
-segmentations differ from the best, then by the ids there; an empty table gives no rows; other columns aren't read; rows of one
+segmentations has as many rows as it has segmentations; of equal scores those come first that the search meets first,
+an order fixed by the text; an empty table gives no rows; other columns aren't read; rows of one
 doc_id are separate. U+2581 in a text decodes as a space.
 """
 
@@ -110,27 +110,28 @@ class Segmenter:
         return ends, fwd
 
     def nbest(self, unit: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
-        """The n best segmentations of a unit by score, then ids: backward A* over its lattice."""
+        """The n best segmentations of a unit by score: backward A* over its lattice.
+
+        Of equal estimates the newest is followed first, so that a run of one character, with its endless ties, is
+        gone through in depth.
+        """
         unit = unit.replace(" ", SPACE)
         ends, fwd = self.lattice(unit)
         heap = [(-fwd[-1], 0, len(unit), 0.0, None)]
-        made, out = 1, []
-        while heap:
-            f, _, at, g, path = heapq.heappop(heap)
-            if len(out) >= n and -f < out[n - 1][0]:
-                break
+        made, out = 0, []
+        while heap and len(out) < n:
+            _, _, at, g, path = heapq.heappop(heap)
             if not at:
-                ids: tuple[int, ...] = ()
+                ids: list[int] = []
                 while path is not None:
-                    ids, path = ids + path[0], path[1]
-                out.append((g, ids))
-                if len(out) > 4 * n + 64:  # many equal scores: any of them
-                    break
+                    ids += path[0]
+                    path = path[1]
+                out.append((g, tuple(ids)))
                 continue
             for s, w, x in ends[at]:
+                made -= 1
                 heapq.heappush(heap, (-(fwd[s] + w + g), made, s, w + g, (x, path)))
-                made += 1
-        return sorted(out, key=lambda x: (-x[0], x[1]))[:n]
+        return out
 
     # batches of units
 
