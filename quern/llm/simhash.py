@@ -4,10 +4,13 @@ A text's words of over 4 bytes (all words where it has fewer than 8 such) give 1
 are one class from the start. The forest has several tries, each over the bits in another random order. A trie's node
 of a short prefix goes to one task, which goes down to longer prefixes where many share the node and stops where few
 are left, never below the depth that finds links at `aim` bits with the recall asked for; the number of tries follows
-from depth and recall. Pairs within a node at most `far` bits apart are verified by the Jaccard index of their word
+from depth and recall. Pairs within a node at most `far` bits apart are candidates. Texts whose Jaccard index is near
+`least` can be further apart than that, and more so where few share a node: bands of BAND minima of hashed word pairs
+are further nodes, all of whose pairs are candidates, whatever their distance. There are so many bands that a pair of
+index `least` shares one with the recall asked for (one of a higher index more often), for any number of texts and
+whatever else the table holds. Candidates are verified by the Jaccard index of their word
 pairs: exact for texts of at most `sketch` distinct pairs, else estimated from the `sketch` smallest hashes of either
-(a k-minimum-values estimate over the whole text). The recall is then estimated from the links found (each counts as
-one over its chance of being found); while it is below the target, the forest climbs to a prefix shorter by two.
+(a k-minimum-values estimate over the whole text).
 
 Nodes and candidate components of more than `block` members are compared in pairs of blocks, so that no task gets an
 unbounded group, and nothing is dropped.
@@ -34,6 +37,8 @@ from .components import components, roots
 from .textfeat import mix, ngrams, words
 
 BITS = 128
+#: Minima in a band: a pair shares it with the chance of its Jaccard index to this power.
+BAND = 3
 _LANES = np.zeros((256, 2), np.uint64)
 for _b in range(8):
     _LANES[:, _b // 4] |= ((np.arange(256) >> (7 - _b)) & 1).astype(np.uint64) << np.uint64(16 * (_b % 4))
@@ -70,8 +75,30 @@ def _distinct(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return d[k], x[k]
 
 
-def features(raw: np.ndarray, off: np.ndarray, sketch: int):
-    """Fingerprints, number of words, sketches (bytes of sorted unsigned 32-bit hashes) and distinct word pairs of each text."""
+def bands_for(least: float, recall: float) -> int:
+    """So many bands that a pair of Jaccard index `least` shares one with the recall asked for."""
+    one = least**BAND
+    return 1 if one >= 1 else max(1, math.ceil(math.log(1 - recall) / math.log(1 - one)))
+
+
+def band_keys(low: np.ndarray, at: np.ndarray, bands: int) -> np.ndarray:
+    """(texts, bands) hashes of 40 bits of the minima of each text's word pairs low[at[k]:at[k + 1]]; zero for texts without any."""
+    out = np.zeros((len(at) - 1, bands), np.int64)
+    some = np.flatnonzero(np.diff(at))
+    if not len(some):
+        return out
+    m = mix(low.astype(np.uint64) + np.uint64(1))
+    by = np.random.default_rng(11).integers(1 << 63, size=(bands, BAND), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    for k in range(bands):
+        g = np.zeros(len(some), np.uint64)
+        for a in by[k]:
+            g = mix(g + np.minimum.reduceat(m * a, at[some]))
+        out[some, k] = (g >> np.uint64(24)).astype(np.int64)
+    return out
+
+
+def features(raw: np.ndarray, off: np.ndarray, sketch: int, bands: int):
+    """Fingerprints, number of words, sketches (bytes of sorted unsigned 32-bit hashes), distinct word pairs and keys of the bands of each text."""
     s, e, h, _, first = words(raw, off)
     n = len(off) - 1
     count = np.diff(first)
@@ -87,7 +114,7 @@ def features(raw: np.ndarray, off: np.ndarray, sketch: int):
     at = np.searchsorted(key, np.arange(n + 1, dtype=np.uint64) << np.uint64(32))
     low = (key & np.uint64(0xFFFFFFFF)).astype(np.uint32)
     sketches = [low[a : min(b, a + sketch)].tobytes() for a, b in zip(at[:-1], at[1:])]
-    return fp, count, sketches, np.diff(at)
+    return fp, count, sketches, np.diff(at), band_keys(low, at, bands)
 
 
 def jaccard(a: np.ndarray, na: int, b: np.ndarray, nb: int, sketch: int) -> float:
@@ -163,10 +190,40 @@ def _walk(fp: np.ndarray, node: np.ndarray, order: np.ndarray, at: int, depth: i
     return out
 
 
+def _in_bands(d: pd.DataFrame, orders: np.ndarray, depth: int, far: int) -> list[pd.DataFrame]:
+    """Candidates of all bands' nodes in a frame sorted by key that aren't candidates of a trie."""
+    if not len(d):
+        return []
+    key, node, side = d.key.to_numpy(), d.node.to_numpy(), d.side.to_numpy()
+    fp = np.stack([d.f0.to_numpy(), d.f1.to_numpy()], axis=1).view(np.uint64)
+    same = key[1:] == key[:-1]
+    shared = np.r_[False, same] | np.r_[same, False]
+    key, node, side, fp = key[shared], node[shared], side[shared], fp[shared]
+    k = prefixes(fp, orders, depth)
+    res, i, step = [], np.arange(len(key)), 0
+    while True:
+        step += 1
+        i = i[i + step < len(key)]
+        i = i[key[i] == key[i + step]]
+        if not len(i):
+            return res
+        for q in range(0, len(i), 65536):
+            x = i[q : q + 65536]
+            y = x + step
+            h = np.bitwise_count(fp[x] ^ fp[y]).sum(axis=1)
+            # of a large node's blocks only left and right
+            new = (node[x] != node[y]) & ((side[x] == 0) | (side[x] != side[y])) & ~((h <= far) & (k[x] == k[y]).any(axis=1))
+            if new.any():
+                x, y, h = node[x[new]], node[y[new]], h[new]
+                res.append(pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y), "h": h.astype(np.int32)}))
+
+
 def _candidates(batch_groups: pd.DataFrame, orders: np.ndarray, at: int, depth: int, leaf: int, far: int) -> pd.DataFrame:
-    """Candidates of all nodes (of one or more tries) in a frame of key, side, node, f0, f1."""
-    res = []
+    """Candidates of all nodes (of one or more tries and bands) in a frame of key, side, node, f0, f1."""
     d = batch_groups.sort_values("key", kind="stable")
+    of_bands = d.key.to_numpy() >> 40 >= len(orders)
+    res = _in_bands(d[of_bands], orders, depth, far)
+    d = d[~of_bands]
     key = d.key.to_numpy()
     cut = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
     node, side = d.node.to_numpy(), d.side.to_numpy()
@@ -195,22 +252,22 @@ def _candidates(batch_groups: pd.DataFrame, orders: np.ndarray, at: int, depth:
     return pd.concat(res).drop_duplicates(["a", "b"]) if res else pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64), "h": np.zeros(0, np.int32)})
 
 
-def _forest(reps: DataFrame, n: int, depth: int, tries: int, leaf: int, far: int, block: int) -> DataFrame:
+def _forest(reps: DataFrame, n: int, depth: int, tries: int, leaf: int, far: int, block: int, bands: int) -> DataFrame:
     orders = bit_orders(tries)
     at = max(0, depth - 3)
+    keys_of = _keys_of(orders, at)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            node, f0, f1 = (b.column(c).to_numpy() for c in ("node", "f0", "f1"))
-            keys = prefixes(np.stack([f0, f1], axis=1).view(np.uint64), orders, at) + (np.arange(tries, dtype=np.int64) << 40)
-            for t in range(tries):
+            keys = keys_of(b)
+            for t in range(keys.shape[1]):
                 yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(keys[:, t])), b.column("node"), b.column("f0"), b.column("f1")], names=["key", "node", "f0", "f1"])
 
     rows = reps.mapInArrow(spread, "key long, node long, f0 long, f1 long")
-    sizes = reps.mapInArrow(_only_keys(orders, at, tries), "key long").groupBy("key").count().where(F.col("count") > block)
+    sizes = reps.mapInArrow(_only_keys(keys_of), "key long").groupBy("key").count().where(F.col("count") > block)
     hot = sizes.count()
     # so many nodes share a task that it has about `block` rows
-    bins = max(1, n * tries // block)
+    bins = max(1, n * (tries + bands) // block)
     plain = rows.withColumns({"side": F.lit(0), "bin": F.pmod(F.xxhash64("key"), F.lit(bins))})
     if hot:
         parts = sizes.select("key", F.ceil(F.col("count") / block).cast("int").alias("parts"))
@@ -231,12 +288,22 @@ def _forest(reps: DataFrame, n: int, depth: int, tries: int, leaf: int, far: int
     return pairs.groupBy("a", "b").agg(F.min("h").alias("h"))
 
 
-def _only_keys(orders: np.ndarray, at: int, tries: int):
+def _keys_of(orders: np.ndarray, at: int):
+    """The nodes of each row of a batch: one of each trie, then one of each band."""
+
+    def keys(b: pa.RecordBatch) -> np.ndarray:
+        f0, f1 = (b.column(c).to_numpy() for c in ("f0", "f1"))
+        k = prefixes(np.stack([f0, f1], axis=1).view(np.uint64), orders, at)
+        k = np.concatenate([k, np.frombuffer(b"".join(b.column("bands").to_pylist()), np.int64).reshape(len(k), -1)], axis=1) if len(k) else k
+        return k + (np.arange(k.shape[1], dtype=np.int64) << 40)
+
+    return keys
+
+
+def _only_keys(keys_of):
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            f0, f1 = (b.column(c).to_numpy() for c in ("f0", "f1"))
-            k = prefixes(np.stack([f0, f1], axis=1).view(np.uint64), orders, at) + (np.arange(tries, dtype=np.int64) << 40)
-            yield pa.RecordBatch.from_arrays([pa.array(k.ravel())], names=["key"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys_of(b).ravel())], names=["key"])
 
     return keys
 
@@ -283,32 +350,25 @@ def classes(docs: DataFrame, least: float = 0.5, far: int = 34, aim: int = 20, r
     """node (doc_id, or a negative number made from the text), doc_id, class_id, n_links, n_copies, kept for each row."""
     spark = docs.sparkSession
     ship(spark)
+    bands = bands_for(least, recall)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
     def feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches, "text"):
             raw, off = text_buffer(b.column("text"))
-            fp, count, sketches, pairs = features(raw, off, sketch)
+            fp, count, sketches, pairs, keys = features(raw, off, sketch, bands)
             doc = b.column("doc_id")
             th, node = _digest(raw, off, doc)
             f = fp.view(np.int64)
-            yield pa.RecordBatch.from_arrays([doc, pa.array(node), pa.array(th[:, 0]), pa.array(th[:, 1]), pa.array(f[:, 0]), pa.array(f[:, 1]), pa.array(count), pa.array(sketches, pa.binary()), pa.array(pairs)], names=["doc_id", "node", "t0", "t1", "f0", "f1", "words", "sketch", "pairs"])
+            yield pa.RecordBatch.from_arrays([doc, pa.array(node), pa.array(th[:, 0]), pa.array(th[:, 1]), pa.array(f[:, 0]), pa.array(f[:, 1]), pa.array(count), pa.array([k.tobytes() for k in keys], pa.binary()), pa.array(sketches, pa.binary()), pa.array(pairs)], names=["doc_id", "node", "t0", "t1", "f0", "f1", "words", "bands", "sketch", "pairs"])
 
-    rows = saved(docs.mapInArrow(feature_rows, "doc_id long, node long, t0 long, t1 long, f0 long, f1 long, words long, sketch binary, pairs long"), "features")
-    texts = saved(rows.groupBy("t0", "t1").agg(F.min(F.struct("node", "f0", "f1", "words")).alias("r"), F.count("*").alias("n_copies")).select("t0", "t1", "r.*", "n_copies"), "texts")
-    reps = texts.where("words > 0").select("node", "f0", "f1")
+    rows = saved(docs.mapInArrow(feature_rows, "doc_id long, node long, t0 long, t1 long, f0 long, f1 long, words long, bands binary, sketch binary, pairs long"), "features")
+    texts = saved(rows.groupBy("t0", "t1").agg(F.min(F.struct("node", "f0", "f1", "words", "bands")).alias("r"), F.count("*").alias("n_copies")).select("t0", "t1", "r.*", "n_copies"), "texts")
+    reps = texts.where("words > 0").select("node", "f0", "f1", "bands")
     n = reps.count()
     depth, tries = plan(n, aim, recall, leaf)
-    while True:
-        pairs = saved(_forest(reps, n, depth, tries, leaf, far, block), "candidates")
-        links = _links(rows, texts, pairs, sketch, least, block)
-        seen = links.groupBy("h").count().collect()  # a row for each distance
-        have = sum(r["count"] for r in seen)
-        chance = found_chance(np.array([r["h"] for r in seen], float), depth, tries)
-        want = sum(r["count"] / c for r, c in zip(seen, chance))
-        if not depth or have >= recall * want:
-            break
-        depth = max(0, depth - 2)  # climb
+    pairs = saved(_forest(reps, n, depth, tries, leaf, far, block, bands), "candidates")
+    links = _links(rows, texts, pairs, sketch, least, block)
     # rows of one doc_id are one document: their texts are joined as well
     same = rows.groupBy("node").agg(F.countDistinct("t0", "t1").alias("k")).where("k > 1").select("node")
     alias = rows.join(F.broadcast(same) if same.count() <= 10_000 else same, "node").join(texts.select("t0", "t1", F.col("node").alias("rep")), ["t0", "t1"]).select(F.col("node").alias("a"), F.col("rep").alias("b"))

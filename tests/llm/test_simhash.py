@@ -61,6 +61,29 @@ def test_links_are_brute_force(spark):
     assert all(got[i] == links[first[t]] for i, t in rows)
 
 
+def test_links_near_the_threshold_beside_a_dense_group(spark):
+    """Pairs of a Jaccard index little over 0.5, with nodes far smaller than the table and a group of near copies."""
+    rng = random.Random(6)
+    words = [f"{rng.choice('bcdfg')}{rng.choice('aeiou')}{rng.choice('lmnrst')}{i}word" for i in range(3000)]
+    texts = []
+    base = [rng.choice(words) for _ in range(120)]
+    for k in range(60):
+        texts.append(base[:k] + [rng.choice(words)] + base[k + 1 :])
+    for _ in range(150):
+        t = [rng.choice(words) for _ in range(120)]
+        texts += [t, t[:84] + [rng.choice(words) for _ in range(36)]]
+    sets = [set(zip(t, t[1:])) for t in texts]
+    want = {(a, b) for b in range(len(texts)) for a in range(b) if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.5}
+    links = [0] * len(texts)
+    for p in want:
+        for k in p:
+            links[k] += 1
+    got = {r.doc_id: r.n_links for r in simhash.near_duplicates(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string"), leaf=2).collect()}
+    alone = [k for k in range(60, len(texts)) if links[k]]
+    assert len(alone) > 200 and sum(got[k] == links[k] for k in alone) >= 0.97 * len(alone)
+    assert all(got[k] <= links[k] for k in got) and sum(got[k] for k in range(60)) >= 0.98 * sum(links[:60])
+
+
 @pytest.mark.parametrize("f", [simhash.near_duplicates, simhash.keep_first])
 def test_empty(spark, f):
     assert f(spark.createDataFrame([], "doc_id long, text string")).count() == 0
