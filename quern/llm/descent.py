@@ -5,9 +5,11 @@ the threshold angle away, so that all points of a ball are linked and needn't be
 the nodes of the neighbour graph. Its lists start from the leaves of random-hyperplane trees and are refined by joins of
 neighbours with neighbours of neighbours (Dong et al., "Efficient k-nearest neighbor graph construction", 2011); a list
 all of whose members are near enough to hold links is saturated and doubled. All centre pairs whose balls may hold a
-link (angle at most threshold + both radii) are kept as edges, whether or not they fit the lists. The recall of such
-edges is audited on a bounded sample of centres against all of them; until it reaches `recall`, more trees and another
-round of refinement follow. Edges between balls so near that every pair is linked are counted as a whole; the others
+link (angle at most threshold + both radii) are kept as edges, whether or not they fit the lists. So many trees are
+grown that two points at the threshold share a leaf with the chance `recall`, which isolated pairs depend on. The recall
+of the edges is then audited against all centres, as a mean over sampled centres that have any; the sample grows until
+there are enough of them to tell `recall` from 1, or holds all centres and so all edges. Until `recall` is reached, more
+trees and another round of refinement follow; after `most_rounds`, all centres are compared in blocks. Edges between balls so near that every pair is linked are counted as a whole; the others
 are verified point by point, in double precision, in blocks.
 
 Leaves, adjacency sets and balls beyond a bounded size are split into blocks (all pairs of blocks for leaves and
@@ -21,6 +23,7 @@ table gives no rows; other columns aren't read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,9 +52,15 @@ def _planes(table: int, depth: int, dim: int) -> np.ndarray:
     return np.random.default_rng(1000 + table).standard_normal((dim, max(depth, 1)))[:, :depth]
 
 
+def trees_for(depth: int, theta: float, recall: float) -> int:
+    """So many trees of random hyperplanes that two points at the angle theta share a leaf with the chance `recall`."""
+    one = (1 - theta / math.pi) ** depth
+    return 1 if one >= 1 else max(1, math.ceil(math.log(max(1 - recall, 1e-6)) / math.log(1 - one)))
+
+
 def _leaf_keys(x: np.ndarray, table: int, depth: int) -> np.ndarray:
     bits = (x @ _planes(table, depth, x.shape[1]) > 0).astype(np.int64) if depth else np.zeros((len(x), 0), np.int64)
-    return (bits << np.arange(bits.shape[1])).sum(axis=1) + (np.int64(table) << 40) + (np.int64(x.shape[1]) << 48)
+    return (bits << np.arange(bits.shape[1])).sum(axis=1) + (np.int64(table) << 32) + (np.int64(x.shape[1]) << 48)
 
 
 def _leaves(points: DataFrame, tables: range, depth: int, block: int) -> DataFrame:
@@ -196,7 +205,7 @@ def _lists(pairs: DataFrame, sizes: DataFrame | None, keep: int) -> DataFrame:
     return saved(best.withColumn("nth", nth).where("nth <= k").drop("nth"), "lists")
 
 
-def near_vectors(vectors: DataFrame, cosine: float = 0.9, keep: int = 8, leaf: int = 512, block: int = 4096, trees: int = 4, ball_rounds: int = 3, rounds: int = 2, recall: float = 0.995, audit: int = 512, most_rounds: int = 8) -> DataFrame:
+def near_vectors(vectors: DataFrame, cosine: float = 0.9, keep: int = 8, leaf: int = 512, block: int = 4096, trees: int | None = None, ball_rounds: int = 3, rounds: int = 2, recall: float = 0.995, audit: int = 512, most_rounds: int = 8) -> DataFrame:
     """vec_id, n_links, component_id, kept of each vector."""
     spark = vectors.sparkSession
     ship(spark)
@@ -216,6 +225,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, keep: int = 8, leaf: i
     units = saved(points.select("c", "embedding").mapInPandas(single, "c long, v binary, r double"), "units")
     n = units.count()
     depth = max(0, int(np.ceil(np.log2(max(1, n) / leaf))))
+    trees = trees or trees_for(depth, theta, recall)
 
     # balls
     members = None  # c, centre, angle
@@ -260,13 +270,20 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, keep: int = 8, leaf: i
             if not full.limit(1).count() and not found.limit(1).count():
                 break
         if sample is None:
-            sample = _audit(nodes, theta, audit)
+            sample, whole = _audit(nodes, theta, audit, recall)
+        if whole:
+            edges = sample
+            break
         if _share(sample, edges) >= recall:
             break
         extra = seek(range(used, used + trees))
         used += trees
         edges = edges.unionByName(extra.where("edge"))
         lists = _lists(lists.select("a", "b", "s").unionByName(extra.select("a", "b", "s")), sizes, keep)
+    else:
+        if depth:
+            blocks = _leaves(nodes, range(1), 0, block).groupBy("group")
+            edges = saved(blocks.applyInPandas(lambda g: _pairs_of_group(g, 1, theta), _PAIR).where("edge"), "exact")
     pair = saved(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     return _count(rows, ids, points, weight, balls, nodes, pair, cosine, theta, block)
 
@@ -289,32 +306,41 @@ def _descend(nodes: DataFrame, lists: DataFrame, theta: float, keep: int, turn:
     return saved(grouped.applyInPandas(_local(theta, keep), _PAIR), "joined")
 
 
-def _audit(nodes: DataFrame, theta: float, size: int) -> DataFrame:
-    """All pairs that may hold links of a bounded sample of nodes, by brute force over all nodes."""
-    some = nodes.orderBy(F.xxhash64("c", F.lit(5))).limit(size).toPandas()
+def _audit(nodes: DataFrame, theta: float, size: int, recall: float) -> tuple[DataFrame, bool]:
+    """All pairs (a, b) that may hold links of sampled nodes a, by brute force over all nodes, and whether all nodes were sampled. The sample grows until enough of its nodes have a pair."""
+    enough = math.inf if recall >= 1 else math.ceil(1 / (1 - recall))
+    total, at, linked, sample = nodes.count(), 0, 0, None
+    while sample is None or (at < total and linked < enough):
+        part = saved(_all_pairs(nodes, nodes.orderBy(F.xxhash64("c", F.lit(5)), "c").offset(at).limit(size).toPandas(), theta), "audit")
+        linked += part.select("a").distinct().count()
+        sample = part if sample is None else sample.unionByName(part)
+        at += size
+        size = max(size, min(2 * size, 8192))
+    return sample, at >= total
+
 
+def _all_pairs(nodes: DataFrame, some: pd.DataFrame, theta: float) -> DataFrame:
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for d in batches:
             for dim, g in d.groupby(d.v.str.len()):
                 own = some[some.v.str.len() == dim]
-                if not len(own):
-                    continue
-                x = np.frombuffer(b"".join(own.v), np.float32).reshape(len(own), -1)
                 y = np.frombuffer(b"".join(g.v), np.float32).reshape(len(g), -1)
-                s = x @ y.T
-                i, j = np.nonzero(_within(s, own.r.to_numpy()[:, None], g.r.to_numpy()[None, :], theta))
-                a, b = own.c.to_numpy()[i], g.c.to_numpy()[j]
-                yield pd.DataFrame({"a": np.minimum(a, b)[a != b], "b": np.maximum(a, b)[a != b]})
+                for k in range(0, len(own), 512):
+                    few = own.iloc[k : k + 512]
+                    x = np.frombuffer(b"".join(few.v), np.float32).reshape(len(few), -1)
+                    i, j = np.nonzero(_within(x @ y.T, few.r.to_numpy()[:, None], g.r.to_numpy()[None, :], theta))
+                    a, b = few.c.to_numpy()[i], g.c.to_numpy()[j]
+                    yield pd.DataFrame({"a": a[a != b], "b": b[a != b]})
 
-    return saved(nodes.mapInPandas(scan, "a long, b long").distinct(), "audit")
+    return nodes.mapInPandas(scan, "a long, b long")
 
 
 def _share(sample: DataFrame, edges: DataFrame) -> float:
-    total = sample.count()
-    if not total:
-        return 1.0
-    have = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return sample.join(have, ["a", "b"], "left_semi").count() / total
+    """The share of its pairs that a sampled node has among the edges, as a mean over nodes."""
+    have = edges.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))
+    found = sample.withColumns({"lo": F.least("a", "b"), "hi": F.greatest("a", "b")}).join(have, ["lo", "hi"], "left_semi").groupBy("a").agg(F.count("*").alias("found"))
+    share = sample.groupBy("a").agg(F.count("*").alias("all")).join(found, "a", "left").agg(F.avg(F.coalesce("found", F.lit(0)) / F.col("all"))).head()[0]
+    return 1.0 if share is None else share
 
 
 def _count(rows: DataFrame, ids: DataFrame, points: DataFrame, weight: DataFrame, balls: DataFrame, nodes: DataFrame, pair: DataFrame, cosine: float, theta: float, block: int) -> DataFrame:

@@ -56,6 +56,24 @@ def test_hot_group_of_copies(spark):
     assert got[0] == want[0] and sum(got[i] != want[i] for i in want) <= 0.01 * len(want)
 
 
+def test_isolated_pairs_beside_a_dense_group(spark):
+    rng = np.random.default_rng(8)
+    base = rng.standard_normal(16)
+    v = [base + 0.35 * rng.standard_normal(16) for _ in range(30)]
+    for _ in range(150):
+        x = rng.standard_normal(16)
+        v += [x, x + 0.3 * rng.standard_normal(16)]
+    rows = [(i, x.astype(np.float32).tolist()) for i, x in enumerate(v)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in descent.near_vectors(table(spark, rows), leaf=8, keep=2, trees=1, rounds=1, audit=16, recall=0.99, most_rounds=1).collect()}
+    assert got == exact(rows, 0.9)
+
+
+def test_trees_follow_depth():
+    theta = np.arccos(0.9)
+    for depth in (0, 3, 7, 20):
+        assert 1 - (1 - (1 - theta / np.pi) ** depth) ** descent.trees_for(depth, theta, 0.995) >= 0.995
+
+
 def test_other_lengths_and_repeats(spark):
     rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.01]), (3, [1.0, 0.0, 0.0]), (4, [2.0, 0.0, 0.0])]
     got = {r.vec_id: (r.n_links, r.component_id) for r in descent.near_vectors(table(spark, rows)).collect()}
