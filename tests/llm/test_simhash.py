@@ -84,6 +84,40 @@ def test_links_near_the_threshold_beside_a_dense_group(spark):
     assert all(got[k] <= links[k] for k in got) and sum(got[k] for k in range(60)) >= 0.98 * sum(links[:60])
 
 
+def test_documents_of_two_texts_keep_the_links_of_both(spark):
+    rng = random.Random(8)
+    words = [f"{rng.choice('bcdfg')}{rng.choice('aeiou')}{rng.choice('lmnrst')}{i}word" for i in range(3000)]
+    rows, near = [], []
+    for i in range(30):
+        for k in (0, 1):
+            t = [rng.choice(words) for _ in range(200)]
+            rows.append((i, " ".join(t)))
+            t[rng.randrange(200)] = "other"
+            near.append((1000 + 2 * i + k, i))
+            rows.append((1000 + 2 * i + k, " ".join(t)))
+    got = {(r.doc_id, r.class_id, r.n_links) for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all((a, i, 1) in got for a, i in near)
+
+
+def test_long_texts_are_compared_whole(spark):
+    """Around the threshold an estimate from a part of the word pairs would decide some of these wrongly."""
+    rng = random.Random(9)
+    texts = []
+    for k in range(40):
+        t = [f"word{rng.randrange(10**6)}" for _ in range(2000)]
+        texts += [t, t[: 1300 + 2 * k] + [f"word{rng.randrange(10**6)}" for _ in range(700 - 2 * k)]]
+    sets = [set(zip(t, t[1:])) for t in texts]
+    want = [len(sets[k] & sets[k ^ 1]) / len(sets[k] | sets[k ^ 1]) >= 0.5 for k in range(80)]
+    assert 20 < sum(want) < 70
+    got = {r.doc_id: r.n_links for r in simhash.near_duplicates(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")).collect()}
+    assert [got[k] for k in range(80)] == [int(w) for w in want]
+
+
+def test_names_may_clash(spark):
+    d = spark.createDataFrame([(1, "a b c d", 5), (2, "a b c d", 6)], "doc_id long, text string, _known int")
+    assert simhash.keep_first(d).collect() == d.where("doc_id = 1").collect()
+
+
 @pytest.mark.parametrize("f", [simhash.near_duplicates, simhash.keep_first])
 def test_empty(spark, f):
     assert f(spark.createDataFrame([], "doc_id long, text string")).count() == 0
