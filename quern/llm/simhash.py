@@ -472,27 +472,35 @@ def _audit(rows: DataFrame, texts: DataFrame, least: float, size: int) -> DataFr
     names, at = np.unique(value, return_index=True)
     at = np.append(at, len(value))
 
+    table = np.zeros(1 << 16, bool)
+    table[names >> np.uint32(16)] = True
+
+    def meet(low: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, sampled text and how many word pairs they share, of those that share any."""
+        raw = low.to_pylist()
+        flat = np.frombuffer(b"".join(raw), np.uint32)
+        doc = np.repeat(np.arange(len(raw)), [len(x) // 4 for x in raw])
+        keep = table[flat >> np.uint32(16)]
+        flat, doc = flat[keep], doc[keep]
+        k = np.minimum(np.searchsorted(names, flat), len(names) - 1)
+        keep = names[k] == flat
+        k, doc = k[keep], doc[keep]
+        times = at[k + 1] - at[k]
+        pair, same = np.unique(np.repeat(doc, times) * len(sets) + owner[ragged(at[k], times)], return_counts=True)
+        return pair // len(sets), pair % len(sets), same
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(1 << 16, bool)
-        table[names >> np.uint32(16)] = True
         for b in batches:
             if not b.num_rows or not len(names):
                 continue
-            raw = b.column("low").to_pylist()
-            own = np.array([len(x) // 4 for x in raw])
-            flat = np.frombuffer(b"".join(raw), np.uint32)
-            doc = np.repeat(np.arange(len(raw)), own)
-            keep = table[flat >> np.uint32(16)]
-            flat, doc = flat[keep], doc[keep]
-            k = np.minimum(np.searchsorted(names, flat), len(names) - 1)
-            keep = names[k] == flat
-            k, doc = k[keep], doc[keep]
-            times = at[k + 1] - at[k]
-            pair, same = np.unique(np.repeat(doc, times) * len(sets) + owner[ragged(at[k], times)], return_counts=True)
-            d, s = pair // len(sets), pair % len(sets)
-            ok = same >= least * (own[d] + sizes[s] - same)
-            x, y = node[s[ok]], b.column("rid").to_numpy()[d[ok]]
-            yield pa.RecordBatch.from_arrays([pa.array(x[x != y]), pa.array(y[x != y])], names=["a", "b"])
+            every = np.array([len(x) // 4 for x in b.column("low").to_pylist()])
+            cut = np.unique(np.searchsorted(np.cumsum(every), np.arange(0, every.sum() + 1, 1 << 17)))
+            for first, last in zip(cut, np.append(cut[1:], b.num_rows)):
+                d, s, same = meet(b.column("low").slice(first, last - first))
+                d += first
+                ok = same >= least * (every[d] + sizes[s] - same)
+                x, y = node[s[ok]], b.column("rid").to_numpy()[d[ok]]
+                yield pa.RecordBatch.from_arrays([pa.array(x[x != y]), pa.array(y[x != y])], names=["a", "b"])
 
     return saved(rows.select("rid", "low").mapInArrow(scan, "a long, b long").join(texts.select(F.col("node").alias("b")), "b", "left_semi"), "audit")
 
@@ -563,7 +571,7 @@ def classes(docs: DataFrame, least: float = 0.5, far: int = 34, recall: float =
     most = F.lit(SIGNATURE) * reach / 2 + 4 * F.sqrt(F.lit(SIGNATURE) * reach / 2 * (1 - reach / 2))
     few = saved(pairs.join(ball("a"), "a").join(ball("b"), "b").where(apart <= most).select("a", "b", "ra", "rb", "pa", "pb"), "likely")
     p = few.count()
-    slots, bins = max(1, n // 8000), max(1, p // 20_000)
+    slots, bins = max(1, n // 3000), max(1, p // 8000)
     slot = lambda x: F.pmod(F.xxhash64(x), F.lit(slots))
     few = few.withColumn("bin", F.pmod(F.xxhash64(F.least(slot("a"), slot("b")), F.greatest(slot("a"), slot("b"))), F.lit(bins)))
     where = saved(few.select(F.col("a").alias("node"), "bin").union(few.select("b", "bin")).distinct(), "where")

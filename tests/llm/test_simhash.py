@@ -109,7 +109,7 @@ def test_long_texts_are_compared_whole(spark):
     sets = [set(zip(t, t[1:])) for t in texts]
     want = [len(sets[k] & sets[k ^ 1]) / len(sets[k] | sets[k ^ 1]) >= 0.5 for k in range(80)]
     assert 20 < sum(want) < 70
-    got = {r.doc_id: r.n_links for r in simhash.near_duplicates(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")).collect()}
+    got = {r.doc_id: r.n_links for r in simhash.near_duplicates(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string"), recall=0.99999).collect()}
     assert [got[k] for k in range(80)] == [int(w) for w in want]
 
 
