@@ -9,15 +9,16 @@ link (angle at most threshold + both radii) are kept as edges, whether or not th
 grown that two points at the threshold share a leaf with the chance `recall`, which isolated pairs depend on. The recall
 of the edges is then audited against all centres, as a mean over sampled centres that have any; the sample grows until
 there are enough of them to tell `recall` from 1, or holds all centres and so all edges. Until `recall` is reached, more
-trees and another round of refinement follow; after `most_rounds`, all centres are compared in blocks. Edges between balls so near that every pair is linked are counted as a whole; the others
-are verified point by point, in double precision, in blocks.
+trees and another round of refinement follow; after `most_rounds`, all centres are compared in blocks. The pairs that
+the audit saw are edges as well. Edges between balls so near that every pair is linked are counted as a whole; the
+others are verified point by point, in double precision, in blocks. The way is the same for tables of any size.
 
 Leaves, adjacency sets and balls beyond a bounded size are split into blocks (all pairs of blocks for leaves and
 balls), so no task holds an unbounded group.
 
 Defined results: vectors that are null, empty, zero or have a null or non-finite component, and rows without vec_id,
 have no links and are their own components (a null vec_id: component_id null, kept); vectors of different lengths
-aren't linked; rows of one vec_id are one vector (one of them, if they differ); equal vectors are linked; an empty
+aren't linked; rows of one vec_id are one vector (the least in the order of arrays, if they differ); equal vectors are linked; an empty
 table gives no rows; other columns aren't read.
 """
 
@@ -212,7 +213,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, keep: int = 8, leaf: i
     theta = float(np.arccos(cosine))
     every = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     ids = every.select("vec_id").distinct()
-    rows = usable(every).dropDuplicates(["vec_id"]).withColumns({"h0": F.xxhash64("embedding"), "h1": F.xxhash64(F.lit(7), "embedding")})
+    rows = usable(every).groupBy("vec_id").agg(F.min("embedding").alias("embedding")).withColumns({"h0": F.xxhash64("embedding"), "h1": F.xxhash64(F.lit(7), "embedding")})
     rows = saved(rows, "vectors")
     points = saved(rows.groupBy("h0", "h1").agg(F.min("vec_id").alias("c"), F.count("*").alias("copies"), F.any_value("embedding").alias("embedding")), "points")
 
@@ -224,14 +225,14 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, keep: int = 8, leaf: i
 
     units = saved(points.select("c", "embedding").mapInPandas(single, "c long, v binary, r double"), "units")
     n = units.count()
-    depth = max(0, int(np.ceil(np.log2(max(1, n) / leaf))))
+    depth = max(1, int(np.ceil(np.log2(max(1, n) / leaf))))
     trees = trees or trees_for(depth, theta, recall)
 
     # balls
     members = None  # c, centre, angle
     half = theta / 2 - 2e-4
     free = units.withColumn("full", F.lit(False))
-    for k in range(ball_rounds if depth else 1):
+    for k in range(ball_rounds):
         groups = _leaves(free.select("c", "v", F.col("full").cast("double").alias("r")), range(100 + k, 101 + k), depth, block)
         # a ball is made within one block: blocks of one leaf aren't paired for this
         own = groups.where("side = 0").withColumn("full", F.col("r") > 0).select("c", "v", "full", "group")
@@ -253,12 +254,12 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, keep: int = 8, leaf: i
         bins = max(8, n * len(tables) // (8 * leaf))
         return saved(d.withColumn("bin", F.pmod("group", F.lit(bins))).groupBy("bin").applyInPandas(lambda g: _pairs_of_group(g, keep, theta), _PAIR), "pairs")
 
-    found = seek(range(trees if depth else 1))
+    found = seek(range(trees))
     edges = found.where("edge")
     sizes, used = None, trees
     lists = _lists(found, sizes, keep)
     sample = None
-    for done in range(most_rounds if depth else 0):
+    for done in range(most_rounds):
         for _ in range(rounds if not done else 1):
             found = _descend(nodes, lists, theta, keep, done, n)
             edges = edges.unionByName(found.where("edge"))
@@ -271,19 +272,16 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, keep: int = 8, leaf: i
                 break
         if sample is None:
             sample, whole = _audit(nodes, theta, audit, recall)
-        if whole:
-            edges = sample
-            break
-        if _share(sample, edges) >= recall:
+        if whole or _share(sample, edges) >= recall:
+            edges = edges.select("a", "b").unionByName(sample)
             break
         extra = seek(range(used, used + trees))
         used += trees
         edges = edges.unionByName(extra.where("edge"))
         lists = _lists(lists.select("a", "b", "s").unionByName(extra.select("a", "b", "s")), sizes, keep)
     else:
-        if depth:
-            blocks = _leaves(nodes, range(1), 0, block).groupBy("group")
-            edges = saved(blocks.applyInPandas(lambda g: _pairs_of_group(g, 1, theta), _PAIR).where("edge"), "exact")
+        blocks = _leaves(nodes, range(1), 0, block).groupBy("group")
+        edges = saved(blocks.applyInPandas(lambda g: _pairs_of_group(g, 1, theta), _PAIR).where("edge"), "exact")
     pair = saved(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     return _count(rows, ids, points, weight, balls, nodes, pair, cosine, theta, block)
 

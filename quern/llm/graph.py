@@ -7,24 +7,31 @@ overfull lists pruned by the same rule. A query is beam-searched in every shard
 distances returned are recomputed from the original vectors in double precision.
 
 Equal vectors are one point of the graph, which carries the k + 1 smallest of their ids: more can't be among k
-neighbours. Queries are searched in blocks, so a task holds one shard and one block, both of bounded size.
+neighbours. The index is a folder of one Parquet file for each shard. A task has a block of the queries and a run of
+the shards, whose graphs it reads one after another, so it holds one graph and one block, both of bounded size, and no
+graph is shuffled.
+
+How wide the beam is, is found out: a bounded sample of the queries is compared with all rows, and the beam doubled
+until at least `recall` of their true neighbours are found. A shard that isn't several times larger than the beam is
+compared whole, so the search ends with an exact one at worst.
 
 Defined results: vectors that are null, empty, zero or have a null or non-finite component take no part, as queries or
 candidates, nor do rows without vec_id; vectors of different lengths don't meet; a row is left out of its own list by
-its vec_id, so rows of one vec_id are one vector (one of them, if they differ); with fewer than k candidates all are
-returned; ties go to the smaller vec_id; an empty table gives no rows; other columns aren't read.
+its vec_id, so rows of one vec_id are one vector (the least in the order of arrays, if they differ); with fewer than k
+candidates all are returned; ties go to the smaller vec_id; an empty table gives no rows; other columns aren't read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved, ship
+from .common import filesystem, saved, shared_dir, ship
 from .vectors import exact_type, matrix, usable
 
 
@@ -168,20 +175,33 @@ class Graph:
         return ids, dist, mi, md
 
 
-_GRAPH = "shard long, n int, dim int, ids binary, points binary, edges binary, starts binary, members array<array<long>>"
+_GRAPH = "shard long, n int, dim int, points binary, edges binary, starts binary, members array<array<long>>"
+_HIT = "query_id long, vec_id long, score double"
+
+
+@dataclass
+class Index:
+    """A folder of graphs, and the shards of each length of vector (dim, shards), a row for each length."""
+
+    path: str
+    shards: DataFrame
+
 
+def _one_each(vectors: DataFrame) -> DataFrame:
+    return usable(vectors).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
 
-def build(vectors: DataFrame, k: int = 10, shard_rows: int = 8192, degree: int = 32, beam: int = 64, alpha: float = 1.2) -> DataFrame:
-    """The index: a row for each shard, saved in the shared folder."""
-    ship(vectors.sparkSession)
+
+def build(vectors: DataFrame, k: int = 10, shard_rows: int = 8192, degree: int = 32, beam: int = 64, alpha: float = 1.2) -> Index:
+    """The index, saved in the shared folder."""
+    spark = vectors.sparkSession
+    ship(spark)
     kind = exact_type(vectors)
-    rows = usable(vectors).select("vec_id", F.col("embedding").cast(f"array<{kind}>").alias("embedding"))
+    rows = _one_each(vectors).select("vec_id", F.col("embedding").cast(f"array<{kind}>").alias("embedding"))
     # the k + 1 smallest ids of each distinct vector; the limit is applied before the shuffle as well
     rank = F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))
-    reps = rows.dropDuplicates(["vec_id"]).withColumn("nth", rank).where(F.col("nth") <= k + 1).groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("members"))
+    reps = rows.withColumn("nth", rank).where(F.col("nth") <= k + 1).groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("members"))
     reps = saved(reps.withColumn("dim", F.size("embedding")), "vectors")
-    n = reps.count()
-    shards = max(1, -(-n // shard_rows))
+    shards = max(1, -(-reps.count() // shard_rows))
     reps = reps.withColumn("shard", F.col("dim").cast("long") * shards + F.pmod(F.xxhash64(F.element_at("members", 1)), F.lit(shards)))
 
     def make(d: pd.DataFrame) -> pd.DataFrame:
@@ -189,77 +209,120 @@ def build(vectors: DataFrame, k: int = 10, shard_rows: int = 8192, degree: int =
         order = np.argsort([m[0] for m in d.members], kind="stable")
         x, members = x[order], [d.members.iloc[i] for i in order]
         g = Graph(x, degree, beam, alpha)
-        return pd.DataFrame([(int(d.shard.iloc[0]), len(x), x.shape[1], b"", x.tobytes(), g.edges.tobytes(), g.starts.astype(np.int64).tobytes(), members)], columns=[c.split()[0] for c in _GRAPH.split(", ")])
+        return pd.DataFrame([(int(d.shard.iloc[0]), len(x), x.shape[1], x.tobytes(), g.edges.tobytes(), g.starts.astype(np.int64).tobytes(), members)], columns=[c.split()[0] for c in _GRAPH.split(", ")])
+
+    path = shared_dir(spark, "graphs")
+    reps.groupBy("shard").applyInPandas(make, _GRAPH).write.partitionBy("shard").parquet(path)
+    return Index(path, saved(reps.groupBy("dim").agg(F.sort_array(F.collect_set("shard")).alias("shards")), "shards"))
+
+
+def _load(fs, folder: str, shard: int):
+    """One shard's rows (double), graph and the ids of its points."""
+    import pyarrow.parquet as pq
+    from pyarrow import fs as pf
 
-    return saved(reps.groupBy("shard").applyInPandas(make, _GRAPH), "graphs")
+    at = f"{folder}/shard={shard}"
+    name = next(i.path for i in fs.get_file_info(pf.FileSelector(at)) if i.path.endswith(".parquet"))
+    with fs.open_input_file(name) as f:
+        r = pq.ParquetFile(f).read().to_pylist()[0]
+    x = np.frombuffer(r["points"], np.float64).reshape(r["n"], r["dim"])
+    g = Graph(np.zeros((0, r["dim"])))
+    g.points = x.astype(np.float32)
+    g.norms = (g.points * g.points).sum(axis=1)
+    g.edges = np.frombuffer(r["edges"], np.int32).reshape(r["n"], -1)
+    g.starts = np.frombuffer(r["starts"], np.int64)
+    return x, g, r["members"]
 
 
-def search(index: DataFrame, queries: DataFrame, k: int = 10, beam: int = 96, block: int = 2048) -> DataFrame:
+def euclid(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Distances of the rows of x from y, summed component by component."""
+    d = x - y
+    return np.sqrt(np.cumsum(d * d, axis=1)[:, -1]) if d.shape[1] else np.zeros(len(d))
+
+
+def search(index: Index, queries: DataFrame, k: int = 10, beam: int = 96, block: int = 4096) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row of `queries` (vec_id, embedding)."""
-    ship(index.sparkSession)
-    asked = saved(usable(queries).dropDuplicates(["vec_id"]).withColumn("dim", F.size("embedding")), "queries")
+    spark = queries.sparkSession
+    ship(spark)
+    path = index.path
+    asked = saved(_one_each(queries).withColumn("dim", F.size("embedding")), "queries")
     blocks = max(1, -(-asked.count() // block))
-    mine = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).join(F.broadcast(index.groupBy("dim").agg(F.collect_list("shard").alias("shards"))), "dim").select("vec_id", "embedding", "block", F.explode("shards").alias("shard"))
-    graphs = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-
-    def find(key, g: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
-        if not len(g) or not len(q):
-            return none
-        r = g.iloc[0]
-        x = np.frombuffer(r.points, np.float64).reshape(r.n, r.dim)
-        own = Graph(np.zeros((0, r.dim)), beam=beam)
-        own.points = x.astype(np.float32)
-        own.norms = (own.points * own.points).sum(axis=1)
-        own.edges = np.frombuffer(r.edges, np.int32).reshape(r.n, -1)
-        own.starts = np.frombuffer(r.starts, np.int64)
-        y, ids = matrix(q.embedding), q.vec_id.to_numpy()
-        out = []
-        for at in range(0, len(y), 512):
-            found, _ = own.search(y[at : at + 512], beam)
-            for i, near in enumerate(found):
-                near = near[near >= 0]
-                delta = x[near] - y[at + i]
-                score = np.sqrt((delta * delta).sum(axis=1))
-                me = ids[at + i]
-                o = np.argsort(score, kind="stable")[: k + 1]
-                o = np.flatnonzero(score <= score[o[-1]]) if len(o) else o
-                pairs = sorted((score[j], m) for j in o for m in r.members[near[j]] if m != me)[:k]
-                out += [(me, m, s) for s, m in pairs]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]) if out else none
-
-    hits = graphs.groupBy("shard", "block").cogroup(mine.groupBy("shard", "block")).applyInPandas(find, "query_id long, vec_id long, score double")
+    # runs of shards: a few tasks for each core, whatever the number of blocks
+    runs = max(1, 2 * spark.sparkContext.defaultParallelism // blocks)
+    run = lambda s: F.transform(F.sequence(F.lit(0), F.lit(runs - 1)), lambda r: F.filter(s, lambda x, i: i % runs == r))
+    wanted = index.shards.select("dim", F.explode(run(F.col("shards"))).alias("shards")).where("size(shards) > 0")
+    pairs = asked.join(wanted, "dim").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
+
+    def find(d: pd.DataFrame) -> pd.DataFrame:
+        fs, folder = filesystem(path)
+        y, ids = matrix(d.embedding), d.vec_id.to_numpy()
+        best: list[list[tuple[float, int]]] = [[] for _ in ids]
+        for shard in d.shards.iloc[0]:
+            x, g, members = _load(fs, folder, int(shard))
+            for at in range(0, len(y), 512):
+                q = y[at : at + 512]
+                if len(x) <= 4 * beam:
+                    found = np.tile(np.arange(len(x)), (len(q), 1))
+                else:
+                    found, _ = g.search(q, beam)
+                for i, near in enumerate(found):
+                    near = near[near >= 0]
+                    score = euclid(x[near], q[i])
+                    o = np.argsort(score, kind="stable")[: k + 1]
+                    o = np.flatnonzero(score <= score[o[-1]]) if len(o) else o
+                    own = [(score[j], m) for j in o for m in members[near[j]] if m != ids[at + i]]
+                    best[at + i] = sorted(best[at + i] + own)[:k]
+        out = [(i, m, s) for i, own in zip(ids, best) for s, m in own]
+        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]) if out else pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
+
+    hits = pairs.groupBy("dim", "block", "shards").applyInPandas(find, _HIT)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return hits.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def recall(index: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = 10, sample: int = 200, **options) -> float:
-    """Share of the true k nearest that the search finds for a bounded sample of the queries, by brute force over all rows."""
-    some = usable(queries).dropDuplicates(["vec_id"]).orderBy(F.xxhash64("vec_id")).limit(sample)
+def brute_force(vectors: DataFrame, some: DataFrame, k: int) -> DataFrame:
+    """query_id, vec_id, score of the true k nearest of a bounded number of rows `some`, over all rows."""
     own = some.toPandas()
-    if not len(own):
-        return 1.0
-    found = search(index, some, k, **options).groupBy("query_id").agg(F.max("score").alias("last"), F.count("*").alias("n")).toPandas().set_index("query_id")
-    y, ids = matrix(own.embedding), own.vec_id.to_numpy()
+    y, ids = matrix(own.embedding) if own.embedding.str.len().nunique() <= 1 else [np.asarray(e) for e in own.embedding], own.vec_id.to_numpy()
 
     def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for d in batches:
-            x, v = matrix(d.embedding), d.vec_id.to_numpy()
-            for q, i in zip(y, ids):
-                s = np.sqrt(((x - q) ** 2).sum(axis=1)) if x.shape[1] == len(q) else np.full(len(x), np.inf)
-                s[v == i] = np.inf
-                o = np.argsort(s, kind="stable")[:k]
-                o = o[np.isfinite(s[o])]
-                yield pd.DataFrame({"query_id": i, "vec_id": v[o], "score": s[o]})
-
-    true = usable(vectors).dropDuplicates(["vec_id"]).mapInPandas(nearest, "query_id long, vec_id long, score double")
+            for dim, g in d.groupby(d.embedding.str.len()):
+                x, v = matrix(g.embedding), g.vec_id.to_numpy()
+                for q, i in zip(y, ids):
+                    if len(q) != dim:
+                        continue
+                    s = euclid(x, q)
+                    s[v == i] = np.inf
+                    o = np.lexsort((v, s))[:k]
+                    o = o[np.isfinite(s[o])]
+                    yield pd.DataFrame({"query_id": i, "vec_id": v[o], "score": s[o]})
+
+    true = _one_each(vectors).mapInPandas(nearest, _HIT)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    true = true.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank")
-    hit = true.join(search(index, some, k, **options).select("query_id", "vec_id"), ["query_id", "vec_id"], "left_semi").count()
-    del found
-    return hit / max(1, true.count())
+    return true.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank")
+
+
+def recall(index: Index, vectors: DataFrame, queries: DataFrame, k: int = 10, sample: int = 200, **options) -> float:
+    """Share of the true k nearest that the search finds for a bounded sample of the queries."""
+    some = saved(_one_each(queries).orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample), "sample")
+    return _share(saved(brute_force(vectors, some, k), "true"), search(index, some, k, **options))
+
+
+def _share(true: DataFrame, found: DataFrame) -> float:
+    """The share of the true neighbours that were found, or others exactly as near."""
+    far = true.groupBy("query_id").agg(F.max("score").alias("last"), F.count("*").alias("n"))
+    hit = found.join(far, "query_id").where("score <= last").groupBy("query_id", "n").count()
+    got = far.join(hit.select("query_id", F.least("count", "n").alias("hit")), "query_id", "left").agg(F.sum("hit"), F.sum("n")).head()
+    return (got[0] or 0) / got[1] if got[1] else 1.0
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, beam: int = 96, **options) -> DataFrame:
-    """Build the index over `vectors` and search it."""
-    return search(build(vectors, k, **options), queries, k, beam)
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, beam: int = 96, least_recall: float = 0.97, sample: int = 200, **options) -> DataFrame:
+    """Build the index over `vectors` and search it with a beam so wide that a sample of the queries finds `least_recall` of its true neighbours."""
+    index = build(vectors, k, **options)
+    some = saved(_one_each(queries).orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample), "sample")
+    true = saved(brute_force(vectors, some, k), "true")
+    largest = options.get("shard_rows", 8192)
+    while 4 * beam < 2 * largest and _share(true, search(index, some, k, beam)) < least_recall:
+        beam *= 2
+    return search(index, queries, k, beam)

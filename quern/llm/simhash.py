@@ -143,27 +143,30 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 
 class Sets:
-    """Sets of 32-bit numbers, compared many at a time."""
+    """Sorted sets of 32-bit numbers, compared many at a time."""
 
     def __init__(self, sets: list[bytes]):
         self.size = np.array([len(s) // 4 for s in sets], np.int64)
         self.at = np.concatenate([[0], np.cumsum(self.size)])
-        self.names, flat = np.unique(np.frombuffer(b"".join(sets), np.uint32), return_inverse=True)
-        self.flat = flat.astype(np.int32)
-        self.mark = np.zeros(len(self.names) + 1, bool)
+        self.flat = np.frombuffer(b"".join(sets), np.uint32)
+        self.mark = np.zeros(1 << 20, bool)  # by the upper 20 bits
 
     def jaccard(self, one: int, others: np.ndarray) -> np.ndarray:
         own = self.flat[self.at[one] : self.at[one + 1]]
-        self.mark[own] = True
         out = np.zeros(len(others))
-        step = max(1, (1 << 22) // max(1, int(self.size[others].max(initial=1))))
-        for k in range(0, len(others), step):
-            o = others[k : k + step]
-            hit = np.concatenate([[0], np.cumsum(self.mark[self.flat[ragged(self.at[o], self.size[o])]])])
-            end = np.cumsum(self.size[o])
-            same = hit[end] - hit[end - self.size[o]]
-            out[k : k + step] = same / np.maximum(1, self.size[o] + len(own) - same)
-        self.mark[own] = False
+        if not len(own) or not len(others):
+            return out
+        self.mark[own >> np.uint32(12)] = True
+        size = self.size[others]
+        end = np.cumsum(size)
+        cut = np.unique(np.searchsorted(end, np.arange(0, end[-1] + 1, 1 << 20)))
+        for first, last in zip(cut, np.append(cut[1:], len(others))):
+            v = self.flat[ragged(self.at[others[first:last]], size[first:last])]
+            k = np.flatnonzero(self.mark[v >> np.uint32(12)])
+            k = k[own[np.minimum(np.searchsorted(own, v[k]), len(own) - 1)] == v[k]]
+            same = np.bincount(np.searchsorted(np.cumsum(size[first:last]), k, "right"), minlength=last - first)
+            out[first:last] = same / (size[first:last] + len(own) - same)
+        self.mark[own >> np.uint32(12)] = False
         return out
 
 
@@ -339,7 +342,7 @@ def _keys(texts: DataFrame, bands: Bands, most: int | None = None, also: tuple[s
 def _heavy(rows: DataFrame, roles: DataFrame) -> DataFrame:
     """`roles` (node, ...) with the word pairs of their nodes: the wide table is read once, and shuffled only where the roles are many."""
     wide = rows.select(F.col("rid").alias("node"), "low")
-    return wide.join(F.broadcast(roles) if roles.count() <= 500_000 else roles, "node")
+    return wide.join(F.broadcast(roles) if roles.count() <= 100_000 else roles, "node")
 
 
 def _assign(half: float):
