@@ -1,8 +1,13 @@
 """The inverted index as ordinary tables.
 
-postings(term, doc_id, tf), doc_stats(doc_id, len), term_stats(term, df) and the one-row corpus_stats(n, total_tokens,
-avgdl). Documents without tokens stay in doc_stats and so in n and avgdl. Persisted, postings and term_stats are
-sorted by term, so that `term IN (...)` prunes row groups.
+postings(term, doc_id, tf, len), doc_stats(doc_id, len), term_stats(term, df) and the one-row corpus_stats(n,
+total_tokens, avgdl). A posting carries the length of its document, so ranking needs no join with doc_stats. Documents
+without tokens stay in doc_stats and so in n and avgdl. Persisted, postings and term_stats are sorted by term, so that
+`term IN (...)` prunes row groups.
+
+An index grows by deltas: a batch of added and removed documents is a small index of its own with the removed ids
+beside it, and the whole is the base less what later batches removed, and their postings. `merged` writes one index of
+them again.
 """
 
 from __future__ import annotations
@@ -26,12 +31,30 @@ def postings(docs: DataFrame, text: Column | str = "text") -> DataFrame:
     return token_rows(docs, text).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
 
 
+def analysed(docs: DataFrame, text: Column | str = "text") -> DataFrame:
+    """doc_id, len and the terms of each document, with repetitions: analysed where it is read."""
+    text = F.col(text) if isinstance(text, str) else text
+    return docs.select("doc_id", tokenize(text).alias("terms")).select("doc_id", F.size("terms").cast("long").alias("len"), "terms")
+
+
+def counted(terms: DataFrame) -> DataFrame:
+    """term, doc_id, tf, len from `analysed`: complete before the shuffle, as all rows of a document are in one task."""
+    rows = terms.select("doc_id", "len", F.explode("terms").alias("term"))
+    return rows.groupBy("term", "doc_id", "len").agg(F.count("*").alias("tf")).select("term", "doc_id", "tf", "len")
+
+
 def doc_stats(docs: DataFrame, text: Column | str = "text") -> DataFrame:
     """Tokens of each document, 0 included; no shuffle."""
     text = F.col(text) if isinstance(text, str) else text
     return docs.select("doc_id", F.size(tokenize(text)).cast("long").alias("len"))
 
 
+def document_frequency(docs: DataFrame, text: Column | str = "text") -> DataFrame:
+    """term, df without postings: distinct terms in the row, then one aggregate."""
+    text = F.col(text) if isinstance(text, str) else text
+    return docs.select(F.explode(F.array_distinct(tokenize(text))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+
+
 def term_stats(posts: DataFrame) -> DataFrame:
     return posts.groupBy("term").agg(F.count("*").alias("df"))
 
@@ -41,9 +64,11 @@ def corpus_stats(lengths: DataFrame) -> DataFrame:
     return lengths.agg(F.count("*").alias("n"), total.alias("total_tokens"), F.coalesce(total.cast("double") / F.nullif(F.count("*"), F.lit(0)), F.lit(0.0)).alias("avgdl"))
 
 
-def posting_lists(posts: DataFrame) -> DataFrame:
-    """The nested form, for reading; a frequent term's list is as long as its documents are many, so nothing is stored this way."""
-    return posts.groupBy("term").agg(F.array_sort(F.collect_list(F.struct("doc_id", "tf"))).alias("postings"))
+def posting_lists(posts: DataFrame, block: int = 100_000) -> DataFrame:
+    """The nested form, for reading: term, part, postings. A list holds documents of one of the `parts` of its term, about `block` of them at most, so a frequent term has several."""
+    parts = posts.groupBy("term").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
+    own = posts.join(parts, "term").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")))
+    return own.groupBy("term", "part").agg(F.array_sort(F.collect_list(F.struct("doc_id", "tf"))).alias("postings"))
 
 
 @dataclass
@@ -56,19 +81,25 @@ class Index:
     @classmethod
     def of(cls, docs: DataFrame, text: Column | str = "text") -> Index:
         """Unpersisted: every use computes what it needs from the documents."""
-        p, d = postings(docs, text), doc_stats(docs, text)
+        own = analysed(docs, text)
+        p, d = counted(own), own.select("doc_id", "len")
         return cls(p, d, term_stats(p), corpus_stats(d))
 
     def save(self, path: str, partitions: int | None = None) -> Index:
-        """Write the four tables under `path` and read them back."""
+        """Write the four tables under `path` and read them back. Postings are shuffled once, by parts of their terms."""
         spark = self.postings.sparkSession
-        n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.doc_stats.write.mode("overwrite").parquet(f"{path}/doc_stats")
-        # by hash of the term: a range partition would need a second pass for its bounds; a very frequent term is split by document
-        self.postings.repartition(n, F.xxhash64("term"), F.pmod(F.xxhash64("doc_id"), F.lit(8))).sortWithinPartitions("term", "doc_id").write.mode("overwrite").option("parquet.block.size", 8 << 20).parquet(f"{path}/postings")
-        posts = spark.read.schema("term string, doc_id long, tf long").parquet(f"{path}/postings") if dict(self.postings.dtypes)["doc_id"] == "bigint" else spark.read.parquet(f"{path}/postings")
-        term_stats(posts).repartition(max(1, n // 4), "term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/term_stats")
-        corpus_stats(spark.read.parquet(f"{path}/doc_stats")).coalesce(1).write.mode("overwrite").parquet(f"{path}/corpus_stats")
+        lengths = spark.read.parquet(f"{path}/doc_stats")
+        stats = corpus_stats(lengths).coalesce(1)
+        stats.write.mode("overwrite").parquet(f"{path}/corpus_stats")
+        # a file for each 8 million tokens, so that their number follows the corpus
+        tokens = spark.read.parquet(f"{path}/corpus_stats").head()["total_tokens"]
+        n = partitions or max(1, min(8, -(-tokens // 500_000)), -(-tokens // 8_000_000))
+        # by hash of the term, a very frequent one spread over as many parts as there are files for it
+        spread = F.pmod(F.xxhash64("doc_id"), F.lit(max(8, n // 64)))
+        self.postings.repartition(n, F.xxhash64("term"), spread).sortWithinPartitions("term", "doc_id").write.mode("overwrite").option("parquet.block.size", 8 << 20).parquet(f"{path}/postings")
+        posts = spark.read.parquet(f"{path}/postings")
+        term_stats(posts).repartition(max(1, n // 8), "term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/term_stats")
         return self.load(spark, path)
 
     @classmethod
@@ -79,14 +110,29 @@ class Index:
         """Without the documents of `ids` (doc_id): df and corpus statistics follow from what is left."""
         ids = ids.select("doc_id").distinct()
         p, d = self.postings.join(ids, "doc_id", "left_anti"), self.doc_stats.join(ids, "doc_id", "left_anti")
-        return Index(p, d, term_stats(p), corpus_stats(d))
+        return Index(p.select(self.postings.columns), d, term_stats(p), corpus_stats(d))
 
     def upserted(self, docs: DataFrame, text: Column | str = "text") -> Index:
         """With `docs`, which replace documents of the same ids."""
-        old = self.removed(docs)
-        p = old.postings.unionByName(postings(docs, text).select(old.postings.columns))
-        d = old.doc_stats.unionByName(doc_stats(docs, text))
-        return Index(p, d, term_stats(p), corpus_stats(d))
+        return self.merged(Index.of(docs, text), docs.select("doc_id"))
+
+    def merged(self, delta: Index, gone: DataFrame) -> Index:
+        """With the documents of `delta`, and without those of `gone` (doc_id, among them all that `delta` replaces).
+
+        df and corpus statistics are changed by what the batch adds and drops: only the postings of dropped documents
+        are read for that, not the whole base.
+        """
+        ids = gone.select("doc_id").distinct()
+        p = self.postings.join(ids, "doc_id", "left_anti").select(self.postings.columns).unionByName(delta.postings.select(self.postings.columns))
+        d = self.doc_stats.join(ids, "doc_id", "left_anti").unionByName(delta.doc_stats)
+        dropped = self.postings.join(ids, "doc_id", "left_semi")
+        change, _ = stats_delta(delta.postings.select("term", "tf"), dropped.select("term", "tf"))
+        t = self.term_stats.unionByName(change).groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
+        plus, less = (x.agg(F.count("*").alias("n"), F.coalesce(F.sum("len"), F.lit(0)).alias("total")).select(F.lit(s).alias("s"), "n", "total") for x, s in ((delta.doc_stats, 1), (self.doc_stats.join(ids, "doc_id", "left_semi"), -1)))
+        own = self.corpus_stats.select(F.lit(1).alias("s"), "n", F.col("total_tokens").alias("total"))
+        c = own.unionByName(plus).unionByName(less).agg(F.sum(F.col("s") * F.col("n")).cast("long").alias("n"), F.sum(F.col("s") * F.col("total")).cast("long").alias("total_tokens"))
+        c = c.select("n", "total_tokens", F.coalesce(F.col("total_tokens").cast("double") / F.nullif("n", F.lit(0)), F.lit(0.0)).alias("avgdl"))
+        return Index(p, d, t, c)
 
 
 def stats_delta(added: DataFrame, dropped: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -6,10 +6,11 @@ order of summation.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.analysis import query_terms, tokenize
+from ..plans.shared import saved
 from .index import Index
 
 K1, B, DIGITS = 1.5, 0.75, 6
@@ -30,19 +31,25 @@ def saturation(tf: Column, k1: float = K1) -> Column:
     return tf * (k1 + 1.0) / (tf + k1)
 
 
-def terms_table(spark: SparkSession, terms: list[str]) -> DataFrame:
-    return spark.createDataFrame([(t,) for t in terms], "term string")
+def _literal(values: dict[str, float]) -> Column:
+    return F.create_map(*[F.lit(x) for kv in values.items() for x in kv])
+
+
+def weights(index: Index, terms: list[str]) -> tuple[dict[str, float], float]:
+    """idf of those of the terms that occur, and avgdl: a row for each term of one query, read first so that a search is one pass over its postings."""
+    stats = index.corpus_stats.where("avgdl > 0")  # one row
+    df = index.term_stats.where(F.col("term").isin(terms))
+    rows = df.crossJoin(F.broadcast(stats)).select("term", "avgdl", idf(F.col("n"), F.col("df")).alias("idf")).collect()
+    return {r["term"]: r["idf"] for r in rows}, rows[0]["avgdl"] if rows else 0.0
 
 
 def matches(index: Index, terms: list[str], k1: float = K1, b: float = B) -> DataFrame:
-    """doc_id, term, tf, idf, contribution of each posting of the terms. The filter on `term` reaches the scan of a saved index."""
-    if not terms:
+    """doc_id, term, tf, idf, contribution of each posting of the terms. The filter on `term` reaches the scan of a saved index, and postings carry their document's length: no join."""
+    known, avgdl = weights(index, terms) if terms else ({}, 0.0)
+    if not known:
         return index.postings.where("false").select("doc_id", "term", "tf", F.lit(0.0).alias("idf"), F.lit(0.0).alias("contribution"))
-    own = index.postings.where(F.col("term").isin(terms))
-    df = index.term_stats.where(F.col("term").isin(terms))  # a row for each term of the query
-    stats = index.corpus_stats.where("avgdl > 0")  # one row
-    weighted = df.crossJoin(F.broadcast(stats)).select("term", "avgdl", idf(F.col("n"), F.col("df")).alias("idf"))
-    return own.join(F.broadcast(weighted), "term").join(index.doc_stats, "doc_id").select("doc_id", "term", "tf", "idf", contribution(F.col("tf"), F.col("idf"), F.col("len"), F.col("avgdl"), k1, b).alias("contribution"))
+    own = index.postings.where(F.col("term").isin(list(known))).withColumn("idf", F.element_at(_literal(known), F.col("term")))
+    return own.select("doc_id", "term", "tf", "idf", contribution(F.col("tf"), F.col("idf"), F.col("len"), F.lit(avgdl), k1, b).alias("contribution"))
 
 
 def scores(found: DataFrame) -> DataFrame:
@@ -66,11 +73,13 @@ def ranked(hits: DataFrame) -> DataFrame:
 
 
 def explain(index: Index, query: str, limit: int = 10, k1: float = K1, b: float = B) -> DataFrame:
-    """A row for each term of each of the best documents, by rank and contribution: the breakdown is made for the winners alone."""
+    """A row for each term of each of the best documents, by rank and contribution. The terms travel with the scores, so the matches are evaluated once; what is explained is the winners alone."""
     found = matches(index, query_terms(query), k1, b)
-    winners = ranked(top(scores(found), limit))
-    parts = found.join(F.broadcast(winners.select("doc_id", "score", "rank")), "doc_id")  # at most `limit` rows
+    item = F.struct("term", "tf", "idf", "contribution")
+    scored = found.groupBy("doc_id").agg(F.round(F.sum("contribution"), DIGITS).alias("score"), F.collect_list(item).alias("own"))  # no longer than the query
+    winners = ranked(top(scored, limit))
     own = Window.partitionBy("doc_id")
+    parts = winners.select("doc_id", "score", "rank", F.inline("own"))
     rounded = parts.withColumn("contribution", F.round("contribution", DIGITS)).withColumn("idf", F.round("idf", DIGITS))
     share = F.round(F.col("contribution") / F.greatest(F.max("contribution").over(own), F.lit(1e-9)) * 100, 4)
     return rounded.withColumn("place", F.row_number().over(own.orderBy(F.desc("contribution"), "term"))).withColumn("weight_pct", share)
@@ -94,31 +103,30 @@ def batch(index: Index, queries: DataFrame, limit: int = 10, k1: float = K1, b:
     wanted = queries.select("qid", F.explode(F.array_distinct(tokenize(F.col("text")))).alias("term"))
     stats = index.corpus_stats.where("avgdl > 0")
     weighted = wanted.join(index.term_stats, "term").crossJoin(F.broadcast(stats)).select("qid", "term", "avgdl", idf(F.col("n"), F.col("df")).alias("idf"))
-    found = index.postings.join(weighted, "term").join(index.doc_stats, "doc_id")
+    found = index.postings.join(weighted, "term")
     scored = found.withColumn("contribution", contribution(F.col("tf"), F.col("idf"), F.col("len"), F.col("avgdl"), k1, b)).groupBy("qid", "doc_id").agg(F.round(F.sum("contribution"), DIGITS).alias("score"))
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "doc_id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= limit)
 
 
-def _equals(word: str):
-    return lambda t: t == word
-
-
 def naive_search(docs: DataFrame, query: str, limit: int | None = 10, k1: float = K1, b: float = B, text: str = "text") -> DataFrame:
-    """The same ranking from raw text, without an index or a shuffle: each document is analysed where it is read, its
-    term counts are columns, and the statistics are one small aggregate."""
+    """The same ranking from raw text, without an index and in one pass over it: each document is analysed once, where
+    it is read, and its few numbers (length, term counts) are saved; the statistics and the scores come from those."""
     terms = query_terms(query)
     if not terms:
         return docs.where("false").select("doc_id", F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("n_terms"))
+    at = _literal({t: i for i, t in enumerate(terms)})
     tokens = docs.select("doc_id", tokenize(F.col(text)).alias("tokens"))
-    counted = tokens.select("doc_id", F.size("tokens").cast("long").alias("len"), F.filter("tokens", lambda t: t.isin(terms)).alias("own"))
-    counted = counted.select("doc_id", "len", *[F.size(F.filter("own", _equals(w))).alias(f"tf{i}") for i, w in enumerate(terms)])
-    stats = counted.agg(F.count("*").alias("n"), F.coalesce(F.avg("len"), F.lit(0.0)).alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))]).where("avgdl > 0")
-    matching = counted.where(" or ".join(f"tf{i} > 0" for i in range(len(terms))))
-    part = [F.when(F.col(f"tf{i}") > 0, contribution(F.col(f"tf{i}"), idf(F.col("n"), F.col(f"df{i}")), F.col("len"), F.col("avgdl"), k1, b)).otherwise(0.0) for i in range(len(terms))]
-    n_terms = sum((F.col(f"tf{i}") > 0).cast("long") for i in range(len(terms)))
-    scored = matching.crossJoin(F.broadcast(stats)).select("doc_id", F.round(sum(part), DIGITS).alias("score"), n_terms.alias("n_terms"))
-    return top(scored, limit)
+    # the places in `terms` of the document's tokens that are among them
+    counted = tokens.select("doc_id", F.size("tokens").alias("len"), F.array_compact(F.transform("tokens", lambda t: F.try_element_at(at, t))).alias("own"))
+    tf = F.transform(F.sequence(F.lit(0), F.lit(len(terms) - 1)), lambda i: F.size("own") - F.size(F.array_remove("own", i)))
+    few = saved(counted.select("doc_id", F.col("len").cast("long").alias("len"), F.when(F.size("own") > 0, tf).alias("tf")), "counts")
+    stats = few.agg(F.count("*").alias("n"), F.coalesce(F.avg("len"), F.lit(0.0)).alias("avgdl"), *[F.count_if(F.col("tf")[i] > 0).alias(f"df{i}") for i in range(len(terms))]).head()  # one row
+    n, avgdl = F.lit(stats["n"]), F.lit(stats["avgdl"])
+    count = lambda i: F.col("tf")[i]
+    part = [F.when(count(i) > 0, contribution(count(i), idf(n, F.lit(stats[f"df{i}"])), F.col("len"), avgdl, k1, b)).otherwise(0.0) for i in range(len(terms))]
+    n_terms = sum((count(i) > 0).cast("long") for i in range(len(terms)))
+    return top(few.where("tf is not null").select("doc_id", F.round(sum(part), DIGITS).alias("score"), n_terms.alias("n_terms")), limit)
 
 
 def agreement(index: Index, docs: DataFrame, query: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import analysis, docmeta
-from ..operators import rank, store
+from ..operators import index, rank, store
 from ..operators.index import Index, corpus_stats, doc_stats, posting_lists, postings, term_stats, token_rows
 from ..sources import remote
 from ..streaming.corpus import progress_rows
@@ -119,7 +119,7 @@ def term_frequency(spark, sf):
 
 @query(f"WITH {O.index()} SELECT term, df FROM term_stats")
 def document_frequency(spark, sf):
-    return term_stats(postings(documents(spark, sf)))
+    return index.document_frequency(documents(spark, sf))
 
 
 @query(f"WITH {O.index()} SELECT doc_id, len FROM doc_stats")
@@ -132,10 +132,10 @@ def corpus_statistics(spark, sf):
     return corpus_stats(doc_stats(documents(spark, sf)))
 
 
-@query(f"WITH {O.index()} SELECT term, string_agg(doc_id || ':' || tf, ',' ORDER BY doc_id) AS postings FROM postings GROUP BY term")
+@query(f"WITH {O.index()} SELECT term, 0 AS part, string_agg(doc_id || ':' || tf, ',' ORDER BY doc_id) AS postings FROM postings GROUP BY term")
 def posting_list(spark, sf):
     lists = posting_lists(postings(documents(spark, sf)))
-    return lists.select("term", F.array_join(F.transform("postings", lambda p: F.concat_ws(":", p["doc_id"].cast("string"), p["tf"].cast("string"))), ",").alias("postings"))
+    return lists.select("term", "part", F.array_join(F.transform("postings", lambda p: F.concat_ws(":", p["doc_id"].cast("string"), p["tf"].cast("string"))), ",").alias("postings"))
 
 
 @query(f"WITH {O.index()} SELECT term, round(ln((CAST(n AS DOUBLE) - df + 0.5) / (df + 0.5) + 1.0), 6) AS idf FROM term_stats, corpus_stats")
