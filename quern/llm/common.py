@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
@@ -16,6 +18,16 @@ from pyspark.sql import functions as F
 _SHIPPED: set[str] = set()
 
 
+def _give_back() -> None:
+    """Let large buffers of Arrow and numpy go back to the system when they are freed: several workers share an executor's memory."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+
+
+_give_back()
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, once per application, so that their Python can import it."""
     app = spark.sparkContext.applicationId
