@@ -10,7 +10,10 @@ fewer than 8 such), each in another random order: a node of a short prefix goes
 prefixes where many share the node and stops where few are left; pairs within a node at most `far` bits apart are
 candidates. Linked texts may be further apart than that, and more so where few share a node: bands of minima of hashed
 word pairs are further nodes, all of whose pairs are candidates, whatever their distance. There are so many that a pair
-of index `least` shares one with the chance `recall`, for any number of texts. The candidates are then held against the
+of index `least` shares one with the chance `recall`, for any number of texts. Short texts share whole lines that are
+common, so that such nodes would hold nearly all pairs of them; pairs of which one has at most SHORT word pairs come
+from a prefix filter instead, which misses none: with word pairs ordered from rare to frequent, linked texts share one
+in the first half of each, and no more after it than what is left of either. The candidates are then held against the
 true links of sampled texts, found by brute force over all texts; while fewer than `target` of them are candidates, the
 forest climbs to shorter prefixes, at last to its roots, where all are compared.
 
@@ -48,6 +51,8 @@ from .textfeat import mix, ngrams, words
 BITS = 128
 #: Bits of minima by which chance meetings are told.
 SIGNATURE = 256
+#: Pairs of texts of which one has at most so many word pairs are found by a prefix filter.
+SHORT = 64
 _LANES = np.zeros((256, 2), np.uint64)
 for _b in range(8):
     _LANES[:, _b // 4] |= ((np.arange(256) >> (7 - _b)) & 1).astype(np.uint64) << np.uint64(16 * (_b % 4))
@@ -280,6 +285,73 @@ def _in_bands(least: float):
     return pairs
 
 
+def _in_prefixes(least: float):
+    def pairs(d: pd.DataFrame) -> pd.DataFrame:
+        """Candidates of all word pairs in a frame of key, side, ball, place, size: those whose rest allows the index `least`."""
+        d = d.drop_duplicates(["key", "side", "ball", "place", "size"]).sort_values("key", kind="stable")
+        key, ball, side, place, size = (d[c].to_numpy() for c in ("key", "ball", "side", "place", "size"))
+        rest = size - place
+        res, i, step = [], np.arange(len(key)), 0
+        while True:
+            step += 1
+            i = i[i + step < len(key)]
+            i = i[key[i] == key[i + step]]
+            if not len(i):
+                return _pairs_of(res)
+            j = i + step
+            ok = np.minimum(rest[i], rest[j]) * (1 + least) >= least * (size[i] + size[j]) - 1e-9
+            ok &= ((side[i] == 0) | (side[i] != side[j])) & (ball[i] != ball[j])
+            res.append((ball[i[ok]], ball[j[ok]]))
+            if sum(len(r[0]) for r in res[-64:]) > 1 << 22:
+                p = _pairs_of(res)
+                res = [(p.a.to_numpy(), p.b.to_numpy())]
+
+    return pairs
+
+
+def _flat(low: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The word pairs of all texts, and how many each has."""
+    raw = low.to_pylist()
+    return np.frombuffer(b"".join(raw), np.uint32), np.array([len(x) // 4 for x in raw], np.int64)
+
+
+def _short(rows: DataFrame, some: DataFrame, least: float, block: int, learn: int = 200_000) -> DataFrame:
+    """Candidates among texts of which one has at most SHORT word pairs; none that is linked is missed.
+
+    Any one order of the word pairs is right; it is fast if frequent ones come last, so how frequent they are is
+    estimated, by their upper 18 bits, from about `learn` texts.
+    """
+    own = some.where(F.col("pairs") <= int(SHORT / least)).select("node", "ball")
+    short = saved(rows.where(F.col("pairs") <= int(SHORT / least)).select(F.col("rid").alias("node"), "low").join(own, "node"), "short")
+    n = short.count()
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        times = np.zeros(1 << 18, np.int64)
+        for b in batches:
+            times += np.bincount(_flat(b.column("low"))[0] >> np.uint32(14), minlength=1 << 18)
+        k = np.flatnonzero(times)
+        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(times[k])], names=["k", "times"])
+
+    counted = short.where(F.pmod(F.xxhash64("node"), F.lit(max(1, n // learn))) == 0).mapInArrow(tally, "k long, times long").groupBy("k").agg(F.sum("times").alias("times")).toPandas()
+    times = np.zeros(1 << 18, np.int32)
+    times[counted.k.to_numpy()] = np.minimum(counted.times.to_numpy(), 2**31 - 1)
+
+    def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            v, size = _flat(b.column("low"))
+            doc = np.repeat(np.arange(len(size)), size)
+            o = np.lexsort((v, times[v >> np.uint32(14)], doc))
+            place = np.arange(len(v)) - np.repeat(np.cumsum(size) - size, size)
+            k = np.flatnonzero(place <= size[doc] - np.ceil(least * size - 1e-9).astype(np.int64)[doc])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (v[o[k]].astype(np.int64), b.column("ball").to_numpy()[doc[k]], place[k], size[doc[k]])], names=["key", "ball", "place", "size"])
+
+    keys = short.select("ball", "low").mapInArrow(prefix, "key long, ball long, place long, size long")
+    hot = saved(_hot(keys.groupBy("key").count(), block), "hot")
+    return _spread(keys, hot, block, max(1, n * SHORT // (8 * block))).groupBy("bin").applyInPandas(_in_prefixes(least), "a long, b long")
+
+
 def _spread(rows: DataFrame, sizes: DataFrame, block: int, bins: int) -> DataFrame:
     """`rows` (key, ball, ...) with side and bin: nodes of more than `block` rows (`sizes`: key, parts) become pairs of blocks, the others share bins."""
     plain = rows.withColumns({"side": F.lit(0), "bin": F.pmod(F.xxhash64("key"), F.lit(bins))})
@@ -340,9 +412,14 @@ def _keys(texts: DataFrame, bands: Bands, most: int | None = None, also: tuple[s
 
 
 def _heavy(rows: DataFrame, roles: DataFrame) -> DataFrame:
-    """`roles` (node, ...) with the word pairs of their nodes: the wide table is read once, and shuffled only where the roles are many."""
+    """`roles` (node, ...) with the word pairs of their nodes: of the wide table only their rows are shuffled, and those only where the roles are many."""
     wide = rows.select(F.col("rid").alias("node"), "low")
-    return wide.join(F.broadcast(roles) if roles.count() <= 100_000 else roles, "node")
+    if roles.count() <= 100_000:
+        return wide.join(F.broadcast(roles), "node")
+    nodes = saved(roles.select("node").distinct(), "nodes")
+    if nodes.count() <= 1_000_000:
+        wide = wide.join(F.broadcast(nodes), "node", "left_semi")
+    return wide.join(roles, "node")
 
 
 def _assign(half: float):
@@ -553,18 +630,21 @@ def classes(docs: DataFrame, least: float = 0.5, far: int = 34, recall: float =
     centres = saved(centres, "centres")
     n = centres.count()
 
-    # candidates
-    named = some.withColumnRenamed("node", "text").select(F.col("ball").alias("node"), "bands", F.col("pairs").alias("few"), F.col("pairs").alias("most"))
+    # candidates: what has only short texts is found by the prefix filter alone
+    long = some.where(F.col("pairs") > SHORT)
+    tall = centres.where(F.col("most") > SHORT)
+    n_tall = tall.count()
+    named = long.withColumnRenamed("node", "text").select(F.col("ball").alias("node"), "bands", F.col("pairs").alias("few"), F.col("pairs").alias("most"))
     keys = _keys(named, bands, also=("few", "most")).withColumnRenamed("node", "ball")
-    hot = saved(_hot(_keys(some, bands).groupBy("key").count(), block), "hot")
-    of_bands = _spread(keys, hot, block, max(1, n * bands.count // (4 * block))).groupBy("bin").applyInPandas(_in_bands(least), "a long, b long")
-    depth = depth_for(n, leaf)
-    of_tries = _forest(centres, n, depth, tries, leaf, far, block)
-    pairs = saved(of_bands.union(of_tries).distinct(), "candidates")
+    hot = saved(_hot(_keys(long, bands).groupBy("key").count(), block), "hot")
+    of_bands = _spread(keys, hot, block, max(1, n_tall * bands.count // (4 * block))).groupBy("bin").applyInPandas(_in_bands(least), "a long, b long")
+    depth = depth_for(n_tall, leaf)
+    of_tries = _forest(tall, n_tall, depth, tries, leaf, far, block)
+    pairs = saved(of_bands.union(of_tries).union(_short(rows, some, least, block)).distinct(), "candidates")
     true = _audit(rows, texts, least, audit)
     while depth and _recall(true, texts, pairs) < target:  # climb
         depth = max(0, depth - 3)
-        pairs = saved(pairs.union(_forest(centres, n, depth, tries, leaf, BITS if not depth else far + 8, block)).distinct(), "candidates")
+        pairs = saved(pairs.union(_forest(tall, n_tall, depth, tries, leaf, BITS if not depth else far + 8, block)).distinct(), "candidates")
 
     # verification: signatures leave out most chance meetings, word pairs decide
     ball = lambda x: centres.select(F.col("ball").alias(x), F.col("radius").alias(f"r{x}"), F.col("points").alias(f"p{x}"), *[F.col(s).alias(f"{s}{x}") for s in signature])

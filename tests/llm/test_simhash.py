@@ -113,6 +113,46 @@ def test_long_texts_are_compared_whole(spark):
     assert [got[k] for k in range(80)] == [int(w) for w in want]
 
 
+def lines(seed, own):
+    """Texts of one common line of 12 words and `own` words more, in a line before it or after it."""
+    rng = random.Random(seed)
+    line = [f"common{k}" for k in range(12)]
+    texts = []
+    for _ in range(300):
+        new = [f"word{rng.randrange(10**6)}" for _ in range(rng.choice(own))]
+        texts.append(line + new if rng.random() < 0.5 else new + line)
+    return texts
+
+
+def test_short_texts_with_a_common_line_lose_no_link(spark):
+    """Whatever the bands and tries find: here nearly nothing."""
+    texts = lines(1, range(2, 10))
+    sets = [set(zip(t, t[1:])) for t in texts]
+    want = [sum(len(a & b) / len(a | b) >= 0.5 for b in sets) - 1 for a in sets]
+    assert 1000 < sum(want) < 80_000
+    d = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    for options in ({}, {"block": 20}):
+        got = {r.doc_id: r.n_links for r in simhash.near_duplicates(d, recall=0.01, far=0, target=0.0, **options).collect()}
+        assert [got[k] for k in range(len(texts))] == want
+
+
+def test_a_common_line_alone_makes_no_candidates(spark, monkeypatch):
+    """Texts that share a line but aren't linked aren't compared, or pairs outgrow the rows."""
+    sizes, saved = [], simhash.saved
+
+    def counted(df, label):
+        out = saved(df, label)
+        if label == "candidates":
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "saved", counted)
+    texts = lines(2, range(16, 20))
+    d = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert sum(r.n_links for r in simhash.near_duplicates(d).collect()) == 0
+    assert sizes and max(sizes) < len(texts)
+
+
 def test_names_may_clash(spark):
     d = spark.createDataFrame([(1, "a b c d", 5), (2, "a b c d", 6)], "doc_id long, text string, _known int")
     assert simhash.keep_first(d).collect() == d.where("doc_id = 1").collect()
