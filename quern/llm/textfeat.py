@@ -12,7 +12,7 @@ import numpy as np
 SEGMENT = 1 << 20
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _PI = np.uint64(pow(int(_P), -1, 1 << 64))
-_POW: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_POW: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
 _WORD = np.zeros(256, bool)
 _WORD[list(range(48, 58)) + list(range(65, 91)) + list(range(97, 123)) + list(range(128, 256))] = True
@@ -21,13 +21,14 @@ _LOWER[65:91] += 32
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(16, int(n).bit_length())
-    if size not in _POW:
+    """The first n powers of _P and of its inverse, at least; one table is kept, as every worker of an executor has its own."""
+    if "all" not in _POW or len(_POW["all"][0]) < n:
+        size = -(-n // (1 << 16)) * (1 << 16)
         a = np.full(size, _P, np.uint64)
         b = np.full(size, _PI, np.uint64)
         a[0] = b[0] = 1
-        _POW[size] = (np.cumprod(a), np.cumprod(b))
-    return _POW[size]
+        _POW["all"] = (np.cumprod(a), np.cumprod(b))
+    return _POW["all"]
 
 
 def mix(x: np.ndarray) -> np.ndarray:

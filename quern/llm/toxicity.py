@@ -157,6 +157,16 @@ def train(doc: np.ndarray, feature: np.ndarray, count: np.ndarray, label: np.nda
     return w[:-1], float(w[-1])
 
 
+def presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """key, pos, n: texts of label 1 and all texts that have the feature, for each part of a batch; parts are small, as each word has five features."""
+    for b in chunks(batches, "text"):
+        k, doc, _ = keys_of(*text_buffer(b.column("text")))
+        y = b.column("label").to_numpy()
+        d, k, _ = counted(np.tile(doc, len(k)), k.ravel())
+        u, at = np.unique(k, return_inverse=True)
+        yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(np.bincount(at, y[d], len(u)).astype(np.int64)), pa.array(np.bincount(at, minlength=len(u)))], names=["key", "pos", "n"])
+
+
 def fit(docs: DataFrame, labels: DataFrame, positives: int = 4000, negatives: int = 8000, most: int = 8192, least_z: float = 3.0, swap: float = 1.0, groups=GROUPS, blind: float = 0.0) -> Model:
     """labels: doc_id, label (0 or 1), of the rows that may be learnt from. `positives`, `negatives` and `most` bound what is collected."""
     order = F.xxhash64("doc_id", F.lit(11))
@@ -167,14 +177,6 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = 4000, negatives: in
     rows = saved(plain(docs).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]), "sample")
     ship(docs.sparkSession)
 
-    def presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in chunks(batches, "text", 1 << 23):
-            k, doc, _ = keys_of(*text_buffer(b.column("text")))
-            y = b.column("label").to_numpy()
-            d, k, _ = counted(np.tile(doc, len(k)), k.ravel())
-            u, at = np.unique(k, return_inverse=True)
-            yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(np.bincount(at, y[d], len(u)).astype(np.int64)), pa.array(np.bincount(at, minlength=len(u)))], names=["key", "pos", "n"])
-
     got = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     p, q = got.get(1, 0), got.get(0, 0)
     if not p or not q:

@@ -97,3 +97,30 @@ def test_identity_swaps():
     d, j, c = toxicity.Vocabulary(keys).hits(raw, off)
     row, col, val, weight = toxicity.swaps(d, j, c, keys)
     assert len(weight) == 5 and np.isclose(weight.sum(), 1) and len(row) and (np.abs(val) > 0).all()
+
+
+def test_features_are_counted_in_bounded_memory():
+    """A batch of any size is cut so that two workers of one executor don't fill it."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    text = " ".join(f"word{i}" for i in rng.integers(10**5, size=20_000))
+    b = pa.RecordBatch.from_arrays([pa.array([text] * 40), pa.array([0, 1] * 20)], names=["text", "label"])
+    tracemalloc.start()
+    found, pos = {}, {}
+    for x in toxicity.presence(iter([b])):
+        for k, p, n in zip(*(c.to_pylist() for c in x.columns)):
+            found[k], pos[k] = found.get(k, 0) + n, pos.get(k, 0) + p
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert set(found.values()) == {40} and set(pos.values()) == {20}
+    assert most < 150e6
+
+
+def test_one_table_of_powers_is_kept():
+    from quern.llm import textfeat
+
+    for n in (10, 100_000, 300_000, 1_000_001, 70_000):
+        p, q = textfeat._powers(n)
+        assert len(p) >= n and (p[:n] * q[:n] == 1).all() and p[0] == 1 and p[1] == textfeat._P
+    assert sum(a.nbytes for t in textfeat._POW.values() for a in t) < 20e6
