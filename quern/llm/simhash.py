@@ -524,7 +524,9 @@ def keep_first(docs: DataFrame, **options) -> DataFrame:
     name = "_known"
     while name in docs.columns:
         name += "_"
-    drop = found.where("known <> class_id").select(F.col("known").alias(name)).distinct()
+    drop = saved(found.where("known <> class_id").select(F.col("known").alias(name)).distinct(), "drop")
+    # numbers alone: up to 2 million of them are sent to the texts rather than all texts shuffled
+    drop = F.broadcast(drop) if drop.count() <= 2_000_000 else drop
 
     def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches, "text"):

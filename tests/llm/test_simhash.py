@@ -158,6 +158,20 @@ def test_names_may_clash(spark):
     assert simhash.keep_first(d).collect() == d.where("doc_id = 1").collect()
 
 
+def test_texts_stay_where_they_are_when_one_of_each_is_kept(spark):
+    """The numbers of the rows to drop go to the texts, however small tables are that Spark would send by itself."""
+    d = spark.createDataFrame([(1, "a b c d"), (2, "a b c d"), (3, "e f g h")], "doc_id long, text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = simhash.keep_first(d)
+        assert sorted(r.doc_id for r in kept.collect()) == [1, 3]
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+
+
 @pytest.mark.parametrize("f", [simhash.near_duplicates, simhash.keep_first])
 def test_empty(spark, f):
     assert f(spark.createDataFrame([], "doc_id long, text string")).count() == 0
