@@ -190,19 +190,24 @@ class Segmenter:
         for t in range(1, int(size[0]) + 1):
             a = active[t]
             best, which = np.full(a, _NONE), np.zeros(a, np.int64)
+            at, char = node[:a] + t, off[:a] + t
             for k in range(1, min(most, t) + 1):
-                v = fwd[node[:a] + t - k] + score[k - 1, off[:a] + t - k]
-                up = v > best
-                best[up], which[up] = v[up], k
-            fwd[node[:a] + t], arg[node[:a] + t] = best, which
+                v = fwd.take(at - k)
+                v += score[k - 1].take(char - k)
+                np.copyto(which, k, where=v > best)
+                np.maximum(best, v, out=best)
+            fwd[at], arg[at] = best, which
         bwd = np.full(t_all + m + most + 1, _NONE)
         bwd[node + size] = 0
         for t in range(int(size[0]) - 1, -1, -1):
             a = active[t + 1]
             best = np.full(a, _NONE)
-            for k in range(1, most + 1):
-                np.maximum(best, score[k - 1, off[:a] + t] + bwd[node[:a] + t + k], out=best)
-            bwd[node[:a] + t] = best
+            at, char = node[:a] + t, off[:a] + t
+            for k in range(1, min(most, int(size[0]) - t) + 1):
+                v = bwd.take(at + k)
+                v += score[k - 1].take(char)
+                np.maximum(best, v, out=best)
+            bwd[at] = best
         total = fwd[node + size]
         # the best path, from the end
         cur, steps, on_path = size.copy(), [], np.zeros((most, t_all), bool)
@@ -214,8 +219,10 @@ class Segmenter:
             cur[live] -= k
         second = np.full(t_all, _NONE)
         here = np.arange(t_all) + np.repeat(np.arange(m), size)
+        start = fwd.take(here)
         for k in range(1, most + 1):
-            v = fwd[here] + score[k - 1, :t_all] + bwd[here + k]
+            v = start + score[k - 1, :t_all]
+            v += bwd.take(here + k)
             v[on_path[k - 1]] = _NONE
             np.maximum(second, v, out=second)
         gap = total - np.maximum.reduceat(second, off)
