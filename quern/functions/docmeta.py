@@ -84,6 +84,12 @@ def snippet(fields: Mapping[str, Column], whole: Column | None = None, most: int
     return shorten(collapse(raw), most)
 
 
+def line(text: Column, most: int = 220) -> Column:
+    """One line of a text itself, null if it is null: ASCII white space as one space, then spaces of any kind off both ends."""
+    x = F.regexp_replace(F.regexp_replace(text, r"[\t\n\f\r ]+", " "), r"^\p{Zs}+|\p{Zs}+\z", "")
+    return F.when(F.length(x) > most, F.concat(F.regexp_replace(F.left(x, F.lit(most)), r"[\t\n\f\r ]+\z", ""), F.lit(ELLIPSIS))).otherwise(x)
+
+
 def describe(fields: Mapping[str, Column]) -> tuple[Column, Column]:
     """Title and badge."""
     g = lambda n: _get(fields, n)
