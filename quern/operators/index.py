@@ -12,12 +12,13 @@ them again.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.analysis import is_word, pieces, stem, tokenize
+from ..functions import counting
+from ..functions.analysis import is_word, pieces, stem
 
 
 def token_rows(docs: DataFrame, text: Column | str = "text") -> DataFrame:
@@ -27,32 +28,18 @@ def token_rows(docs: DataFrame, text: Column | str = "text") -> DataFrame:
 
 
 def postings(docs: DataFrame, text: Column | str = "text") -> DataFrame:
-    """How often each term occurs in each document. All rows of a document are in one task, so the partial aggregate before the shuffle is already the result."""
-    return token_rows(docs, text).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
-
-
-def analysed(docs: DataFrame, text: Column | str = "text") -> DataFrame:
-    """doc_id, len and the terms of each document, with repetitions: analysed where it is read."""
-    text = F.col(text) if isinstance(text, str) else text
-    return docs.select("doc_id", tokenize(text).alias("terms")).select("doc_id", F.size("terms").cast("long").alias("len"), "terms")
-
-
-def counted(terms: DataFrame) -> DataFrame:
-    """term, doc_id, tf, len from `analysed`: complete before the shuffle, as all rows of a document are in one task."""
-    rows = terms.select("doc_id", "len", F.explode("terms").alias("term"))
-    return rows.groupBy("term", "doc_id", "len").agg(F.count("*").alias("tf")).select("term", "doc_id", "tf", "len")
+    """How often each term occurs in each document. A row's terms are counted where it is read, so the shuffle has a posting once."""
+    return counting.counts(docs, text).groupBy("term", "doc_id").agg(F.sum("tf").alias("tf"))
 
 
 def doc_stats(docs: DataFrame, text: Column | str = "text") -> DataFrame:
     """Tokens of each document, 0 included; no shuffle."""
-    text = F.col(text) if isinstance(text, str) else text
-    return docs.select("doc_id", F.size(tokenize(text)).cast("long").alias("len"))
+    return counting.lengths(docs, text)
 
 
 def document_frequency(docs: DataFrame, text: Column | str = "text") -> DataFrame:
     """term, df without postings: distinct terms in the row, then one aggregate."""
-    text = F.col(text) if isinstance(text, str) else text
-    return docs.select(F.explode(F.array_distinct(tokenize(text))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    return term_stats(counting.counts(docs, text))
 
 
 def term_stats(posts: DataFrame) -> DataFrame:
@@ -71,19 +58,28 @@ def posting_lists(posts: DataFrame, block: int = 100_000) -> DataFrame:
     return own.groupBy("term", "part").agg(F.array_sort(F.collect_list(F.struct("doc_id", "tf"))).alias("postings"))
 
 
+def posting_texts(posts: DataFrame, block: int = 16) -> DataFrame:
+    """term and its whole list as text, `doc_id:tf` by ascending doc_id (a whole number). Lists are made for runs of 2 ** `block` ids, so that no list of rows is long, and their texts are joined in order."""
+    runs = posts.groupBy("term", F.shiftright(F.col("doc_id").cast("long"), block).alias("run")).agg(F.array_sort(F.collect_list(F.struct("doc_id", "tf"))).alias("own"))
+    texts = runs.select("term", F.struct("run", F.array_join(F.transform("own", lambda p: F.concat(p["doc_id"].cast("string"), F.lit(":"), p["tf"].cast("string"))), ",").alias("text")).alias("part"))
+    return texts.groupBy("term").agg(F.array_sort(F.collect_list("part")).alias("parts")).select("term", F.array_join(F.col("parts")["text"], ",").alias("postings"))
+
+
 @dataclass
 class Index:
     postings: DataFrame
     doc_stats: DataFrame
     term_stats: DataFrame
     corpus_stats: DataFrame
+    #: The same postings where ids don't repeat: they need no shuffle.
+    counts: DataFrame | None = field(default=None, repr=False)
 
     @classmethod
     def of(cls, docs: DataFrame, text: Column | str = "text") -> Index:
         """Unpersisted: every use computes what it needs from the documents."""
-        own = analysed(docs, text)
-        p, d = counted(own), own.select("doc_id", "len")
-        return cls(p, d, term_stats(p), corpus_stats(d))
+        rows, d = counting.counts(docs, text), counting.lengths(docs, text)
+        p = rows.groupBy("term", "doc_id", "len").agg(F.sum("tf").alias("tf")).select("term", "doc_id", "tf", "len")
+        return cls(p, d, term_stats(p), corpus_stats(d), rows)
 
     def save(self, path: str, partitions: int | None = None) -> Index:
         """Write the four tables under `path` and read them back. Postings are shuffled once, by parts of their terms."""
@@ -92,14 +88,16 @@ class Index:
         lengths = spark.read.parquet(f"{path}/doc_stats")
         stats = corpus_stats(lengths).coalesce(1)
         stats.write.mode("overwrite").parquet(f"{path}/corpus_stats")
-        # a file for each 8 million tokens, so that their number follows the corpus
+        unique = self.counts is not None and lengths.groupBy("doc_id").count().where("count > 1").isEmpty()
+        # a file for each 4 million tokens, so that their number follows the corpus and a file's rows are sorted in memory
         tokens = spark.read.parquet(f"{path}/corpus_stats").head()["total_tokens"]
-        n = partitions or max(1, min(8, -(-tokens // 500_000)), -(-tokens // 8_000_000))
+        n = partitions or max(1, min(8, -(-tokens // 500_000)), -(-tokens // 4_000_000))
         # by hash of the term, a very frequent one spread over as many parts as there are files for it
         spread = F.pmod(F.xxhash64("doc_id"), F.lit(max(8, n // 64)))
-        self.postings.repartition(n, F.xxhash64("term"), spread).sortWithinPartitions("term", "doc_id").write.mode("overwrite").option("parquet.block.size", 8 << 20).parquet(f"{path}/postings")
+        rows = self.counts if unique else self.postings
+        rows.repartition(n, F.xxhash64("term"), spread).sortWithinPartitions("term", "doc_id").write.mode("overwrite").option("parquet.block.size", 8 << 20).parquet(f"{path}/postings")
         posts = spark.read.parquet(f"{path}/postings")
-        term_stats(posts).repartition(max(1, n // 8), "term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/term_stats")
+        term_stats(posts).sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/term_stats")
         return self.load(spark, path)
 
     @classmethod
