@@ -6,11 +6,18 @@ order of summation.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
+from ..functions import counting
 from ..functions.analysis import query_terms, tokenize
-from ..plans.shared import saved
+from ..plans.shared import saved, ship
 from .index import Index
 
 K1, B, DIGITS = 1.5, 0.75, 6
@@ -98,15 +105,90 @@ def total(index: Index, query: str) -> DataFrame:
     return own.agg(F.countDistinct("doc_id").alias("total"))
 
 
-def batch(index: Index, queries: DataFrame, limit: int = 10, k1: float = K1, b: float = B) -> DataFrame:
-    """Top documents of many queries (qid, text) in one job: qid, rank, doc_id, score. Queries of any number are joined, not looped over."""
-    wanted = queries.select("qid", F.explode(F.array_distinct(tokenize(F.col("text")))).alias("term"))
+def batch(index: Index, queries: DataFrame, limit: int = 10, k1: float = K1, b: float = B, most: int = 1_000_000) -> DataFrame:
+    """Top documents of many queries (qid, text) in one job: qid, rank, doc_id, score.
+
+    The postings of the queries' terms are shuffled once, by document, whatever the number of queries that share a term;
+    there the scores of a block of documents are summed for all queries, and its best alone go on. Beyond `most` terms
+    of queries in all, postings and queries are joined instead.
+    """
+    wanted = queries.select("qid", F.explode(F.array_distinct(tokenize(F.col("text")))).alias("term")).distinct()
     stats = index.corpus_stats.where("avgdl > 0")
     weighted = wanted.join(index.term_stats, "term").crossJoin(F.broadcast(stats)).select("qid", "term", "avgdl", idf(F.col("n"), F.col("df")).alias("idf"))
-    found = index.postings.join(weighted, "term")
-    scored = found.withColumn("contribution", contribution(F.col("tf"), F.col("idf"), F.col("len"), F.col("avgdl"), k1, b)).groupBy("qid", "doc_id").agg(F.round(F.sum("contribution"), DIGITS).alias("score"))
+    few = weighted.limit(most + 1).toArrow()
+    if few.num_rows <= most:
+        scored = _block_scores(index, few, queries.schema["qid"], limit, k1, b)
+    else:
+        found = index.postings.join(weighted, "term").withColumn("contribution", contribution(F.col("tf"), F.col("idf"), F.col("len"), F.col("avgdl"), k1, b))
+        scored = found.groupBy("qid", "doc_id").agg(F.sum("contribution").alias("score"))
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "doc_id"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= limit)
+    return scored.withColumn("score", F.round("score", DIGITS)).withColumn("rank", rank).where(F.col("rank") <= limit)
+
+
+def _block_scores(index: Index, weights: pa.Table, qid: StructField, limit: int, k1: float, b: float) -> DataFrame:
+    """qid, doc_id, score (not rounded) of those documents that can be among the `limit` best of a query; weights: qid, term, avgdl, idf."""
+    spark = index.postings.sparkSession
+    ship(spark)
+    terms, qids = (pc.unique(weights[c].combine_chunks()) for c in ("term", "qid"))
+    term, q = (pc.index_in(weights[c].combine_chunks(), value_set=v).to_numpy(zero_copy_only=False) for c, v in (("term", terms), ("qid", qids)))
+    order = np.argsort(term, kind="stable")
+    q, idfs = q[order], weights["idf"].to_numpy()[order]
+    at = np.searchsorted(term[order], np.arange(len(terms) + 1))
+    avgdl = weights["avgdl"][0].as_py() if weights.num_rows else 1.0
+    key = index.postings.schema["doc_id"]
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, doc, code, gain in _blocks(batches, max(1, (1 << 22) // max(1, len(qids)))):
+            n = np.diff(at)[code]
+            spot = np.arange(n.sum()) + np.repeat(at[code] - (np.cumsum(n) - n), n)
+            total = np.bincount(np.repeat(doc, n) * len(qids) + q[spot], np.repeat(gain, n) * idfs[spot], len(ids) * len(qids)).reshape(len(ids), len(qids))
+            d, own = _best(total, limit)
+            yield pa.RecordBatch.from_arrays([qids.take(pa.array(own)), ids.take(pa.array(d)), pa.array(total[d, own])], ["qid", "doc_id", "score"])
+
+    codes = spark.createDataFrame([(t, i) for i, t in enumerate(terms.to_pylist())], "term string, code int")
+    own = index.postings.join(F.broadcast(codes), "term").select("doc_id", "code", contribution(F.col("tf"), F.lit(1.0), F.col("len"), F.lit(avgdl), k1, b).alias("gain"))
+    return own.repartition("doc_id").sortWithinPartitions("doc_id").mapInArrow(rows, StructType([qid, key, StructField("score", DoubleType())]))
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows of doc_id (ascending), code and gain in blocks of whole documents, `most` at most: the ids, and of each row the id's place, code and gain."""
+    kept: list[pa.RecordBatch] = []
+
+    def cut(t: pa.Table, last: bool):
+        coded = t["doc_id"].combine_chunks().dictionary_encode()
+        doc, ids = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
+        whole = len(ids) - (not last)  # more rows of the last document may follow
+        for i in range(0, whole, most):
+            x, y = np.searchsorted(doc, [i, min(i + most, whole)])
+            yield ids.slice(i, min(most, whole - i)), doc[x:y] - i, t["code"].to_numpy()[x:y], t["gain"].to_numpy()[x:y]
+        kept[:] = [] if last else t.slice(int(np.searchsorted(doc, whole))).to_batches()
+
+    for x in batches:
+        if x.num_rows:
+            kept.append(x)
+        if sum(k.num_rows for k in kept) >= 1 << 20:
+            yield from cut(pa.Table.from_batches(kept), False)
+    if kept:
+        yield from cut(pa.Table.from_batches(kept), True)
+
+
+def _best(total: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of what can be among the `limit` greatest of each column after rounding, ties to the smaller row; 0 is none.
+
+    Values so near the middle of two rounded ones that their rounding may depend on its method don't count for the
+    limit, and are kept beside it.
+    """
+    scaled = total * 10.0**DIGITS
+    rounded = np.rint(scaled)
+    unsure = (np.abs(scaled - np.floor(scaled) - 0.5) < 1e-3) & (total > 0)
+    sure = np.where(unsure | (total == 0), -1.0, rounded)
+    least = np.partition(sure, len(sure) - limit, axis=0)[len(sure) - limit] if len(sure) > limit else np.full(sure.shape[1], -1.0)
+    row, col = np.nonzero((sure >= np.maximum(least, 0)))
+    order = np.lexsort((row, -sure[row, col], col))
+    row, col = row[order], col[order]
+    place = np.arange(len(col)) - np.searchsorted(col, col)
+    more = np.nonzero(unsure & (rounded >= least - 2))
+    return np.concatenate([row[place < limit], more[0]]), np.concatenate([col[place < limit], more[1]])
 
 
 def naive_search(docs: DataFrame, query: str, limit: int | None = 10, k1: float = K1, b: float = B, text: str = "text") -> DataFrame:
