@@ -197,12 +197,7 @@ def naive_search(docs: DataFrame, query: str, limit: int | None = 10, k1: float
     terms = query_terms(query)
     if not terms:
         return docs.where("false").select("doc_id", F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("n_terms"))
-    at = _literal({t: i for i, t in enumerate(terms)})
-    tokens = docs.select("doc_id", tokenize(F.col(text)).alias("tokens"))
-    # the places in `terms` of the document's tokens that are among them
-    counted = tokens.select("doc_id", F.size("tokens").alias("len"), F.array_compact(F.transform("tokens", lambda t: F.try_element_at(at, t))).alias("own"))
-    tf = F.transform(F.sequence(F.lit(0), F.lit(len(terms) - 1)), lambda i: F.size("own") - F.size(F.array_remove("own", i)))
-    few = saved(counted.select("doc_id", F.col("len").cast("long").alias("len"), F.when(F.size("own") > 0, tf).alias("tf")), "counts")
+    few = saved(counting.few_counts(docs, terms, text), "counts")
     stats = few.agg(F.count("*").alias("n"), F.coalesce(F.avg("len"), F.lit(0.0)).alias("avgdl"), *[F.count_if(F.col("tf")[i] > 0).alias(f"df{i}") for i in range(len(terms))]).head()  # one row
     n, avgdl = F.lit(stats["n"]), F.lit(stats["avgdl"])
     count = lambda i: F.col("tf")[i]
