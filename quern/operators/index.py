@@ -106,7 +106,7 @@ class Index:
 
     def removed(self, ids: DataFrame) -> Index:
         """Without the documents of `ids` (doc_id): df and corpus statistics follow from what is left."""
-        ids = ids.select("doc_id").distinct()
+        ids = few(ids.select("doc_id").distinct())
         p, d = self.postings.join(ids, "doc_id", "left_anti"), self.doc_stats.join(ids, "doc_id", "left_anti")
         return Index(p.select(self.postings.columns), d, term_stats(p), corpus_stats(d))
 
@@ -120,7 +120,7 @@ class Index:
         df and corpus statistics are changed by what the batch adds and drops: only the postings of dropped documents
         are read for that, not the whole base.
         """
-        ids = gone.select("doc_id").distinct()
+        ids = few(gone.select("doc_id").distinct())
         p = self.postings.join(ids, "doc_id", "left_anti").select(self.postings.columns).unionByName(delta.postings.select(self.postings.columns))
         d = self.doc_stats.join(ids, "doc_id", "left_anti").unionByName(delta.doc_stats)
         dropped = self.postings.join(ids, "doc_id", "left_semi")
@@ -133,6 +133,11 @@ class Index:
         return Index(p, d, t, c)
 
 
+def few(ids: DataFrame, most: int = 2_000_000) -> DataFrame:
+    """Ids that are sent to each executor where there are no more than `most`, so that postings aren't shuffled to meet them."""
+    return F.broadcast(ids) if ids.limit(most + 1).count() <= most else ids
+
+
 def stats_delta(added: DataFrame, dropped: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Signed changes of term_stats and corpus_stats from postings added and dropped (term, doc_id, tf): for incremental upkeep without reading the base."""
     both = added.withColumn("sign", F.lit(1)).unionByName(dropped.withColumn("sign", F.lit(-1)))
