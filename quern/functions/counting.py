@@ -1,7 +1,7 @@
 """Term counts of whole batches of documents at once: the rules of `analysis.tokenize` over Arrow buffers.
 
 A batch's bytes are classed by one table, words are cut from them as one string array, and only its distinct words are
-stemmed. That takes about a tenth of the CPU time of the same rules as Columns, which touch each word by itself.
+stemmed. The same rules as Columns touch each word by itself.
 """
 
 from __future__ import annotations
